@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os.path
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -70,8 +71,10 @@ def may_match(text: Column, patterns: Sequence[str]) -> Column:
     needles = {literal_prefix(p) for p in patterns}
     if not needles or "" in needles:
         return F.lit(True)
-    # A needle that contains a shorter one adds nothing.
-    needles = {n for n in needles if not any(o != n and o in n for o in needles)}
+    shared = os.path.commonprefix(sorted(needles))
+    if len(shared) >= 6:
+        # Long enough to be rare: one pass over the text instead of one per needle.
+        needles = {shared}
     test = F.lit(False)
     for needle in sorted(needles):
         test = test | F.contains(text, F.lit(needle))

@@ -17,16 +17,12 @@ def base_name(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """From the last dot of the base name, dot included; '' if there is none."""
-    base = base_name(path)
-    return F.when(
-        F.contains(base, F.lit(".")), F.concat(F.lit("."), F.substring_index(base, ".", -1))
-    ).otherwise(F.lit(""))
+    return F.regexp_extract(path, r"(\.[^./]*)\z", 1)
 
 
 def is_dockerfile(path: Column) -> Column:
-    return F.startswith(base_name(path), F.lit("Dockerfile")) | (
-        extension(path) == F.lit(".dockerfile")
-    )
+    named = F.startswith(base_name(path), F.lit("Dockerfile"))
+    return named | F.endswith(path, F.lit(".dockerfile"))
 
 
 def walk_key(path: Column) -> Column:

@@ -43,7 +43,8 @@ def physical_lines(content: Column) -> Column:
 
 def join_continued(content: Column) -> Column:
     """Replace each line end after a backslash by one blank, the last one included."""
-    return F.regexp_replace(content, r"\\[ \t]*\r?(?:\n|\z)", " ")
+    joined = F.regexp_replace(content, r"\\[ \t]*\r?(?:\n|\z)", " ")
+    return F.when(F.contains(content, F.lit("\\")), joined).otherwise(content)
 
 
 def is_oversize(content: Column, max_line_bytes: int = MAX_LINE_BYTES) -> Column:

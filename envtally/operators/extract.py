@@ -33,12 +33,12 @@ from envtally.functions.text import (
     NOT_SPACE,
     SPACE,
     SPACE_IN_LINE,
+    WHITE_SPACE,
     failure,
-    is_significant,
     join_continued,
     trim_space,
 )
-from envtally.sources.tables import classify_files
+from envtally.sources.tables import DOCKER, SOURCE, classify_files
 
 # Roles of a fact. The failures carry no variable; they are rows like the others so
 # that warnings do not cost a second read of the texts.
@@ -80,10 +80,10 @@ def _arg_instruction_names(text: Column) -> Column:
     return _first_group(text, rf"(?i:\AARG){BLANK}+{SPACE}*({NAME}){SPACE}*(?:=|\z)")
 
 
-def _instruction(text: Column, word: str) -> Column:
-    """A trimmed line starts with this word, in any case, and a blank."""
-    after = F.substring(text, len(word) + 1, 1)
-    return (F.upper(F.substring(text, 1, len(word))) == word) & after.isin(*BLANKS)
+def _instruction(text: Column, *words: str) -> Column:
+    """The line starts with one of these words, in any case, and a blank."""
+    starts = [word + blank for word in words for blank in BLANKS]
+    return F.upper(F.substring(text, 1, len(starts[0]))).isin(*starts)
 
 
 def _docker_declared_names(text: Column) -> Column:
@@ -101,8 +101,10 @@ def _docker_used_names(text: Column) -> Column:
 
 
 def _may_have_docker_fact(text: Column) -> Column:
-    words = _instruction(text, "ENV") | _instruction(text, "ARG")
-    return is_significant(text) & (F.contains(text, F.lit("$")) | words)
+    """A test of the untrimmed line; trimming on the left is enough for it and cheaper."""
+    left = F.ltrim(text, F.lit(WHITE_SPACE))
+    named = F.contains(text, F.lit("$")) | _instruction(left, "ENV", "ARG")
+    return named & ~F.startswith(left, F.lit("#"))
 
 
 def _by_language(patterns: Patterns) -> list[tuple[list[str], tuple[str, ...]]]:
@@ -144,22 +146,24 @@ def _found(role: str | Column, names: Column) -> Column:
     return F.struct(role.alias("role"), names.alias("names"))
 
 
-def extract_facts(
-    files: DataFrame,
-    patterns: Patterns = DEFAULT_PATTERNS,
-    max_line_bytes: int = MAX_LINE_BYTES,
-) -> DataFrame:
-    """Facts of code and Dockerfiles, and failures, from one read of ``files``."""
+def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_line_bytes: int) -> DataFrame:
+    """Facts of the files of the given kinds; the plan holds what those kinds need only."""
     content, lang, text = F.col("content"), F.col("lang"), F.col("text")
-    is_docker = F.col("kind") == "docker"
-    failed = failure(content, max_line_bytes)
 
-    relevant = F.when(is_docker, _has_from(join_continued(content))).otherwise(
-        _may_have_code_use(lang, content, patterns)
+    def by_kind(docker: Column, source: Column) -> Column:
+        if kinds == (DOCKER,):
+            return docker
+        if kinds == (SOURCE,):
+            return source
+        return F.when(F.col("kind") == DOCKER, docker).otherwise(source)
+
+    relevant = by_kind(
+        _has_from(join_continued(content)), _may_have_code_use(lang, content, patterns)
     )
+    failed = failure(content, max_line_bytes)
+    of_kind = classify_files(files, patterns).where(F.col("kind").isin(*kinds))
     lines = (
-        classify_files(files, patterns)
-        .where(F.col("kind").isNotNull() & (failed.isNotNull() | relevant))
+        of_kind.where(failed.isNotNull() | relevant)
         # Before the explode, so that it is decided once per file and not per line.
         .withColumn("failed", failed)
         .select(
@@ -170,32 +174,39 @@ def extract_facts(
             "failed",
             F.posexplode(
                 F.when(F.col("failed").isNotNull(), F.array(F.lit("")))
-                .when(is_docker, F.split(join_continued(content), "\n"))
-                .otherwise(F.split(content, "\n"))
+                .otherwise(F.split(by_kind(join_continued(content), content), "\n"))
             ).alias("pos", "text"),
         )
-        .withColumn("line_no", F.col("pos") + 1)
-        .withColumn("text", F.when(is_docker, trim_space(text)).otherwise(text))
     )
     failed = F.col("failed")
     kept = lines.where(
         failed.isNotNull()
-        | F.when(is_docker, _may_have_docker_fact(text)).otherwise(_may_have_code_use(lang, text, patterns))
-    ).withColumn("line_no", F.when(failed.isNull(), F.col("line_no")))
-    found = (
-        F.when(failed.isNotNull(), F.array(_found(failed, F.array(F.lit(None).cast("string")))))
-        .when(
-            is_docker,
-            F.array(
-                _found(DOCKER_DECLARED, _docker_declared_names(text)),
-                _found(DOCKER_USED, _docker_used_names(text)),
-            ),
-        )
-        .otherwise(F.array(_found(CODE_USED, _names_in_code(lang, text, patterns))))
+        | by_kind(_may_have_docker_fact(text), _may_have_code_use(lang, text, patterns))
+    ).withColumns(
+        {
+            "line_no": F.when(failed.isNull(), F.col("pos") + 1),
+            "text": by_kind(trim_space(text), text),
+        }
     )
+    docker_found = F.array(
+        _found(DOCKER_DECLARED, _docker_declared_names(text)),
+        _found(DOCKER_USED, _docker_used_names(text)),
+    )
+    code_found = F.array(_found(CODE_USED, _names_in_code(lang, text, patterns)))
+    nameless = F.array(_found(failed, F.array(F.lit(None).cast("string"))))
+    found = F.when(failed.isNotNull(), nameless).otherwise(by_kind(docker_found, code_found))
     return _fact_rows(kept, found, F.lit(None).cast("int"))
 
 
+def extract_facts(
+    files: DataFrame,
+    patterns: Patterns = DEFAULT_PATTERNS,
+    max_line_bytes: int = MAX_LINE_BYTES,
+) -> DataFrame:
+    """Facts of code and Dockerfiles, and failures, from one read of ``files``."""
+    return _facts_of(files, (DOCKER, SOURCE), patterns, max_line_bytes)
+
+
 def extract_env_facts(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Declarations in env files, and failures, in the shape of ``extract_facts``."""
     content, text = F.col("content"), F.col("text")
@@ -249,8 +260,7 @@ def code_references(
     max_line_bytes: int = MAX_LINE_BYTES,
 ) -> DataFrame:
     """Variables read in source files, one row per occurrence."""
-    sources = classify_files(files, patterns).where(F.col("kind") == "source")
-    return uses_of(extract_facts(sources.select(*files.columns), patterns, max_line_bytes), CODE_USED)
+    return uses_of(_facts_of(files, (SOURCE,), patterns, max_line_bytes), CODE_USED)
 
 
 def _language_references(files: DataFrame, exts: Iterable[str], regexes, max_line_bytes) -> DataFrame:
@@ -272,7 +282,7 @@ def python_references(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) ->
 def valid_dockerfiles(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Dockerfiles that can be read and have a FROM instruction; all columns kept."""
     content = F.col("content")
-    dockerfiles = classify_files(files).where(F.col("kind") == "docker").select(*files.columns)
+    dockerfiles = classify_files(files).where(F.col("kind") == DOCKER).select(*files.columns)
     return dockerfiles.where(
         failure(content, max_line_bytes).isNull() & _has_from(join_continued(content))
     )
@@ -303,12 +313,9 @@ def docker_references(lines: DataFrame) -> DataFrame:
     )
 
 
-def docker_declarations(
-    files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES
-) -> DataFrame:
+def docker_declarations(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """Variables declared in any stage of any Dockerfile of a project."""
-    dockerfiles = classify_files(files).where(F.col("kind") == "docker").select(*files.columns)
-    return docker_declarations_of(extract_facts(dockerfiles, DEFAULT_PATTERNS, max_line_bytes))
+    return docker_declarations_of(_facts_of(files, (DOCKER,), DEFAULT_PATTERNS, max_line_bytes))
 
 
 def docker_declarations_of(facts: DataFrame) -> DataFrame:

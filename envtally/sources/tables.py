@@ -19,6 +19,8 @@ from envtally.functions.names import DEFAULT_PATTERNS
 from envtally.functions.paths import extension, has_ignored_directory, is_dockerfile
 from envtally.functions.text import MAX_LINE_BYTES, failure, is_oversize
 
+DOCKER, SOURCE = "docker", "source"
+
 
 def candidate_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERNS) -> DataFrame:
     """Files with a known extension (case-sensitive) or a Dockerfile-like name."""
@@ -45,7 +47,7 @@ def classify_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERN
     docker, source = is_dockerfile(path), extension(path).isin(*extensions)
     return files.withColumns(
         {
-            "kind": F.when(docker, F.lit("docker")).when(source, F.lit("source")),
+            "kind": F.when(docker, F.lit(DOCKER)).when(source, F.lit(SOURCE)),
             "lang": extension(path),
             "multiplicity": docker.cast("int") + source.cast("int"),
         }
