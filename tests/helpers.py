@@ -1,0 +1,17 @@
+from __future__ import annotations
+
+FILES = "project string, path string, content string"
+ENV_FILES = "project string, ordinal int, env_path string, content string"
+
+
+def files_of(spark, texts: dict[str, str | None], project: str = "p"):
+    return spark.createDataFrame([(project, path, text) for path, text in texts.items()], FILES)
+
+
+def env_files_of(spark, texts: dict[str, str | None], project: str = "p"):
+    rows = [(project, n, path, text) for n, (path, text) in enumerate(texts.items())]
+    return spark.createDataFrame(rows, ENV_FILES)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=str)

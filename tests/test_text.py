@@ -1,0 +1,156 @@
+from __future__ import annotations
+
+import pytest
+from helpers import files_of, rows
+from pyspark.sql import functions as F
+
+import brute
+from envtally.functions.names import (
+    DEFAULT_PATTERNS,
+    is_valid_name,
+    literal_prefix,
+    may_match,
+)
+from envtally.functions.paths import extension, parse_ignore, to_slash, walk_key
+from envtally.functions.text import WHITE_SPACE, fields, is_oversize, trim_space
+from envtally.operators.lines import logical_lines, significant_lines, split_lines
+from envtally.sources.tables import (
+    candidate_files,
+    classify_files,
+    oversize_files,
+    prune_ignored,
+)
+
+CONTENTS = [
+    "", "\n", "\r", "\r\n", "a", "a\n", "a\n\n", "a\r\nb\r\r\nc\rd", "\n\na", "\\", "\\\n", "\\\n\n",
+    "a\\\nb", "a \\ \t\nb", "a\\\r\nb", "a\\\r\r\nb", "a\\ \r \nb", "a\\\\\nb", "a\\\n\\\nb", "a\\\n# c\nd",
+    "# a\\\nb\nc", "x\\", "x\\\n", "x\\ ", "  # c\n\t\n\u3000a\u2003\n\x85\n\ufeffA=1", "a\\\n\n\nb", "a\\x\n",
+]
+
+
+def values(spark, texts, expression):
+    table = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    return [r[1] for r in sorted(table.select("n", expression(F.col("t"))).collect())]
+
+
+def test_lines_match_a_line_scanner(spark):
+    files = files_of(spark, {f"{n}/Dockerfile": c for n, c in enumerate(CONTENTS)})
+    for operator, scanner in ((split_lines, brute.physical), (logical_lines, brute.logical)):
+        expected = sorted(
+            (f"{n}/Dockerfile", i, line)
+            for n, content in enumerate(CONTENTS)
+            for i, line in enumerate(scanner(content), 1)
+        )
+        assert sorted(rows(operator(files), "path", "line_no", "text")) == expected
+    expected = sorted(
+        (f"{n}/Dockerfile", i, line) for n, c in enumerate(CONTENTS) for i, line in brute.significant(c)
+    )
+    got = rows(significant_lines(logical_lines(files)), "path", "line_no", "text")
+    assert sorted(got) == expected
+
+
+def test_trim_takes_all_unicode_white_space_and_nothing_else(spark):
+    assert len(set(WHITE_SPACE)) == 25 and all(c.isspace() for c in WHITE_SPACE)
+    texts = [WHITE_SPACE + "a b" + WHITE_SPACE, "\u200b\x1fa\ufeff", "\u180ea", "  "]
+    assert values(spark, texts, trim_space) == ["a b", "\u200b\x1fa\ufeff", "\u180ea", ""]
+    assert values(spark, ["  a\u2003b\t\x0bc ", ""], fields) == [["a", "b", "c"], []]
+
+
+@pytest.mark.parametrize("limit", [10, 65536])
+def test_oversize_counts_bytes_before_the_newline(spark, limit):
+    short, long = limit - 1, limit
+    texts = {
+        "fits": "x" * short + "\n" + "y" * short,
+        "too long": "a\n" + "x" * long + "\nb",
+        "at the end": "a\n" + "x" * long,
+        "with CR": "x" * short + "\r\n",
+        "two bytes each": "\u00e9" * (limit // 2) + "\n",
+        "three bytes, fits": "\u3000" * (short // 3) + "\n" + "\u3000" * (short // 3),
+        "empty": "",
+    }
+    expected = sorted(t for t, c in texts.items() if brute.oversize(c, limit))
+    assert expected == ["at the end", "too long", "two bytes each", "with CR"]
+    files = files_of(spark, texts)
+    assert [r[0] for r in rows(oversize_files(files, limit), "path")] == expected
+    assert files.where(is_oversize(F.col("content"), limit)).count() == 4
+
+
+def test_valid_names(spark):
+    texts = ["A", "A_1", "A\n", "1A", "_A", "a", "A-B", "", "A.B", "\u00c9"]
+    assert values(spark, texts, is_valid_name) == [True, True] + [False] * 8
+
+
+def test_extension(spark):
+    paths = ["a/b.js", "a.d/b", "a/b.", ".js", "a/.env", "b.test.ts", "a/b.JS", "Dockerfile"]
+    assert values(spark, paths, extension) == [".js", "", ".", ".js", ".env", ".ts", ".JS", ""]
+
+
+def test_walk_order_compares_components(spark):
+    paths = ["a/b.js", "a.js", "a-b/c.js", "a", "a b/c.js", "b/a.js", "a/b/c.js"]
+    table = spark.createDataFrame([(p,) for p in paths], "path string")
+    ordered = [r[0] for r in table.orderBy(walk_key(F.col("path"))).collect()]
+    assert ordered == sorted(paths, key=lambda p: p.split("/"))
+    assert values(spark, ["a\\b"], to_slash) == ["a/b"]
+
+
+def test_literal_prefix():
+    assert literal_prefix(r"process\.env\.([A-Z]+)") == "process.env."
+    assert literal_prefix(r'os\.Getenv\("(X)"\)') == 'os.Getenv("'
+    assert literal_prefix("abc*d") == "ab"
+    assert literal_prefix("ab?") == "a"
+    assert literal_prefix(r"\d+abc") == ""
+    assert literal_prefix("(?i)abc") == ""
+    assert literal_prefix("abc|def") == ""
+    assert literal_prefix("a{2}b") == ""
+
+
+def test_may_match_never_rejects_a_match(spark):
+    texts = ["x process.env.A", "process.env['B']", "process.en", 'os.LookupEnv("A")', "os."]
+    js, go = DEFAULT_PATTERNS[".js"], DEFAULT_PATTERNS[".go"]
+    assert values(spark, texts, lambda t: may_match(t, js)) == [True, True, False, False, False]
+    assert values(spark, texts, lambda t: may_match(t, go)) == [False, False, False, True, False]
+    assert values(spark, texts, lambda t: may_match(t, [r"(?i)x"])) == [True] * 5
+
+
+def test_candidates_and_kinds(spark):
+    names = {
+        "a/x.js": ("source", 1), "x.ts": ("source", 1), "x.go": ("source", 1), "x.py": ("source", 1),
+        "Dockerfile": ("docker", 1), "Dockerfile.prod": ("docker", 1), "Dockerfilex": ("docker", 1),
+        "a.dockerfile": ("docker", 1), ".dockerfile": ("docker", 1), "Dockerfile.py": ("docker", 2),
+        "x.JS": None, "x.jsx": None, "dockerfile": None, "My.Dockerfile": None, "Dockerfile/x.md": None,
+        "x.md": None, "js": None,
+    }
+    kept = candidate_files(files_of(spark, dict.fromkeys(names, "")))
+    got = {r.path: (r.kind, r.multiplicity) for r in classify_files(kept).collect()}
+    assert got == {path: kind for path, kind in names.items() if kind}
+
+
+def test_symbolic_links_are_no_candidates(spark):
+    files = files_of(spark, {"a.js": "", "b.js": ""}).withColumn("is_symlink", F.col("path") == "b.js")
+    assert rows(candidate_files(files), "path") == [("a.js",)]
+
+
+def test_ignored_directories_are_names_of_directories(spark):
+    paths = [
+        "a/vendor/x.js", "vendor/x.js", "a/.git/b/x.js", "node_modules/k/x.js", "a/tmp/x.js",
+        "a/vendors/x.js", "a/vendor", "tmp.js", "x.js",
+    ]
+    files = files_of(spark, dict.fromkeys(paths, ""))
+    kept = ["a/vendor", "a/vendors/x.js", "tmp.js", "x.js"]
+    assert [r[0] for r in rows(prune_ignored(files, " tmp ,other"), "path")] == kept
+    assert [r[0] for r in rows(prune_ignored(files, [" tmp"]), "path")] == kept
+    assert parse_ignore("a, b ") == ["a", "b"]
+
+
+def test_directories_above_the_root_do_not_count(spark):
+    cases = [
+        ("/srv/vendor/app", "/srv/vendor/app/x.js", True),
+        ("/srv/vendor/app", "/srv/vendor/app/vendor/x.js", False),
+        ("/srv/vendor", "/srv/vendor/x.js", False),
+        (".", "src/x.js", True),
+        (".", "vendor/x.js", False),
+        (".", "x.js", True),
+    ]
+    files = spark.createDataFrame([("p", r, p, "") for r, p, _ in cases], "project string, root string, path string, content string")
+    got = rows(prune_ignored(files), "root", "path")
+    assert got == sorted((r, p) for r, p, kept in cases if kept)
