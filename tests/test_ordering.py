@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+from helpers import rows
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from envtally.operators.ordering import with_position
+
+
+@pytest.fixture
+def skewed(spark):
+    """One group with a third of all rows, some ties, many small groups."""
+    rng = random.Random(5)
+    data = [("hot", rng.randint(0, 900), n) for n in range(1000)]
+    data += [(f"g{rng.randint(0, 300)}", rng.randint(0, 9), n) for n in range(2000)]
+    return spark.createDataFrame(data, "g string, k int, n int").repartition(6, "n")
+
+
+def test_positions_are_those_of_a_window(skewed):
+    got = with_position(skewed, ("g",), ("k", "n"), "pos")
+    window = Window.partitionBy("g").orderBy("k", "n")
+    assert got.columns == ["g", "k", "n", "pos"]
+    assert rows(got) == rows(skewed.withColumn("pos", F.row_number().over(window)))
+
+
+def test_ties_get_distinct_positions(skewed):
+    got = with_position(skewed, ("g",), ("k",), "pos")
+    assert rows(got.groupBy("g").agg(F.max("pos"), F.count_distinct("pos"))) == rows(
+        skewed.groupBy("g").agg(F.count("*").alias("a"), F.count("*").alias("b"))
+    )
+
+
+def test_a_hot_group_is_spread_over_tasks(spark, skewed):
+    from envtally.operators import ordering
+
+    seen = []
+    original, ordering.pin = ordering.pin, lambda df: seen.append(df) or original(df)
+    try:
+        with_position(skewed, ("g",), ("k", "n"), "pos").collect()
+    finally:
+        ordering.pin = original
+    sizes = [r["count"] for r in seen[0].groupBy("_slice").count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 1000  # less than the hot group
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "g string, k int")
+    assert with_position(empty, ("g",), ("k",), "pos").collect() == []
