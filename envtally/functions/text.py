@@ -34,11 +34,17 @@ def fields(col: Column) -> Column:
     return F.filter(F.split(col, f"{SPACE}+"), lambda piece: piece != "")
 
 
-def physical_lines(content: Column) -> Column:
-    """Lines of a text: no piece after a final newline, one trailing CR removed."""
-    body = F.regexp_replace(content, r"\n\z", "")
-    lines = F.transform(F.split(body, "\n"), lambda line: F.regexp_replace(line, r"\r\z", ""))
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(lines)
+def line_pieces(content: Column) -> Column:
+    """Pieces between newlines; none for an empty text, none after a final newline."""
+    ended = F.endswith(content, F.lit("\n"))
+    body = F.when(ended, F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+    return F.when(content != "", F.split(body, "\n")).otherwise(F.array().cast("array<string>"))
+
+
+def drop_cr(line: Column) -> Column:
+    """A line without its trailing CR; one of several only."""
+    cut = F.substring(line, F.lit(1), F.length(line) - 1)
+    return F.when(F.endswith(line, F.lit("\r")), cut).otherwise(line)
 
 
 def join_continued(content: Column) -> Column:

@@ -57,7 +57,7 @@ def _pieces(totals: DataFrame, fields: tuple[str, ...], rows: list[Column]) -> D
 
 def text_report(result: ScanResult) -> DataFrame:
     """``project, line_no, text``."""
-    result = result.pinned()
+    result = result.with_pinned_pairs()
     sections = {rule.rule_id: n for n, rule in enumerate(RULES, 1)}
     has = {rule.rule_id: F.col(rule.rule_id) > 0 for rule in RULES}
 
@@ -198,7 +198,7 @@ def sarif_rules(
 
 def sarif_results(result: ScanResult) -> DataFrame:
     """Findings in the order of a SARIF document: by rule, then by message text."""
-    result = result.pinned()
+    result = result.with_pinned_pairs()
     indexed = result.findings.join(
         sarif_rules(result).select("project", "rule_id", "rule_index"), ["project", "rule_id"]
     )
@@ -218,7 +218,7 @@ def sarif_report(
 
     With ``windows_paths`` backslashes become slashes; elsewhere they are part of a name.
     """
-    result = result.pinned()
+    result = result.with_pinned_pairs()
 
     def uri(path: Column) -> Column:
         return to_slash(path) if windows_paths else path

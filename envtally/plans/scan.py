@@ -18,6 +18,7 @@ from envtally.operators.rules import RULES
 from envtally.sources.tables import (
     candidate_files,
     classify_files,
+    counted_files,
     env_status,
     prune_ignored,
     readable_projects,
@@ -28,31 +29,37 @@ from envtally.sources.tables import (
 class ScanResult:
     """Lazy results of one audit.
 
-    Each result reads the texts anew unless the facts are pinned; ``pinned()`` does so,
-    and is worth it as soon as more than one result is wanted.
+    ``files`` has every file with the number of times a scan counts it. ``facts`` are
+    ``extract_facts`` of all texts, ``pairs`` what ``reconcile`` makes of them. Unless
+    they are pinned, each result reads the texts anew.
     """
 
     files: DataFrame
-    candidates: DataFrame
     env_files: DataFrame
     facts: DataFrame
+    pairs: DataFrame
     max_line_bytes: int
-    is_pinned: bool = False
+    facts_pinned: bool = False
+    pairs_pinned: bool = False
 
     def pinned(self) -> ScanResult:
-        if self.is_pinned:
+        """For use of more than one result: the texts are read once, here."""
+        if self.facts_pinned:
+            return self.with_pinned_pairs()
+        facts = pin(self.facts)
+        return replace(self, facts=facts, pairs=reconcile(facts), facts_pinned=True).with_pinned_pairs()
+
+    def with_pinned_pairs(self) -> ScanResult:
+        """Enough for use of findings and counts more than once, and less to write."""
+        if self.pairs_pinned:
             return self
-        return replace(self, facts=pin(self.facts), is_pinned=True)
+        return replace(self, pairs=pin(self.pairs), pairs_pinned=True)
 
     @cached_property
     def auditable(self) -> DataFrame:
         """Projects with an env file that can be read; the others get no report."""
         return readable_projects(self.env_files, self.max_line_bytes)
 
-    @cached_property
-    def pairs(self) -> DataFrame:
-        return reconcile(self.facts)
-
     @cached_property
     def findings(self) -> DataFrame:
         return pair_findings(self.pairs).join(self.auditable, "project", "left_semi")
@@ -73,8 +80,7 @@ class ScanResult:
         The file count needs paths only, so it does not read the texts.
         """
         counts = [rule.rule_id for rule in RULES]
-        by_file = self.files.groupBy("project").agg(F.lit(0).cast("long").alias("files_scanned"))
-        by_candidate = self.candidates.groupBy("project").agg(
+        by_file = self.files.groupBy("project").agg(
             F.sum(F.col("multiplicity").cast("long")).alias("files_scanned")
         )
         by_pair = self.pairs.groupBy("project").agg(
@@ -83,9 +89,9 @@ class ScanResult:
             *[F.sum(test.cast("long")).alias(rule) for rule, test in rule_tests().items()],
         )
         by_env_file = env_status(self.env_files, self.max_line_bytes)
-        union = by_file
-        for part in (by_candidate, by_pair, by_env_file):
-            union = union.unionByName(part, allowMissingColumns=True)
+        union = by_file.unionByName(by_pair, allowMissingColumns=True).unionByName(
+            by_env_file, allowMissingColumns=True
+        )
         measures = [
             "files_scanned", "variables_declared", "variables_used", *counts, "readable_env_files",
         ]
@@ -153,10 +159,10 @@ def scan(
         extract_env_facts(env_files, max_line_bytes)
     )
     return ScanResult(
-        files=files.select("project"),
-        candidates=classify_files(kept.select("project", "path"), patterns),
+        files=counted_files(files, ignore, patterns),
         env_files=env_files,
         facts=facts,
+        pairs=reconcile(facts),
         max_line_bytes=max_line_bytes,
     )
 

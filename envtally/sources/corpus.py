@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 # Of the directories of the corpus, the one that audits leave out.
 IGNORE = ("gen",)
 
-_PATH = """concat(project, CASE kind
+# One-element explodes: later tests of path and content see columns, as with a stored table,
+# and not copies of these expressions.
+_PATH = """explode(array(concat(project, CASE kind
   WHEN 0 THEN concat('/pkg/f', doc_id, '.js')
   WHEN 1 THEN concat('/pkg-a/f', doc_id, '.ts')
   WHEN 2 THEN concat('/cmd/f', doc_id, '.go')
@@ -22,10 +24,9 @@ _PATH = """concat(project, CASE kind
   WHEN 6 THEN concat('/vendor/f', doc_id, '.js')
   WHEN 7 THEN concat('/docs/f', doc_id, '.md')
   WHEN 8 THEN concat('/Dockerfile.f', doc_id, '.py')
-  ELSE concat('/gen/f', doc_id, '.ts') END) AS path"""
+  ELSE concat('/gen/f', doc_id, '.ts') END))) AS path"""
 
-# One-element explode: later tests of the content see a column, as with a stored table, and
-# not copies of this expression. '$' and '{' stay apart: SQL text with both in a row is taken for a substitution.
+# '$' and '{' stay apart: SQL text with both in a row is taken for a substitution.
 _CONTENT = """explode(array(concat(text, chr(10), CASE
   WHEN kind IN (0, 1, 6, 9) THEN concat(
     'const a = process.env.', v1, '; f(process.env["', v2, '"], process.env[''', v1, ''']);',
@@ -54,22 +55,29 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             "concat('VAR_', CAST((doc_id * 7) % 61 AS STRING)) AS v1",
             "concat('VAR_', CAST((doc_id * 11 + 3) % 59 AS STRING)) AS v2",
         )
-        .selectExpr("project", _PATH, _CONTENT)
+        .selectExpr("*", _PATH)
+        .selectExpr("project", "path", _CONTENT)
     )
 
 
 def corpus_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three env files per project, and three more for every 6,000,000 parts.
+
+    So a file has at most 100,000 lines, however many parts there are.
+    """
     lines = (
         spark.read.parquet(f"{sf_dir}/part.parquet")
         .selectExpr(
             "p_partkey",
             "concat('src', CAST(p_partkey % 20 AS STRING)) AS project",
-            "CAST((p_partkey div 20) % 3 AS INT) AS ordinal",
+            "p_partkey div 6000000 AS piece",
+            "(p_partkey div 20) % 3 AS kind",
             "(p_partkey div 60) % 50 AS n",
         )
         .selectExpr(
             "project",
-            "ordinal",
+            "piece",
+            "kind",
             "p_partkey",
             """CASE WHEN n % 9 = 4 THEN concat('# VAR_', n, '=off')
                     WHEN n % 9 = 7 THEN concat('export VAR_', n, '=1')
@@ -78,7 +86,7 @@ def corpus_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                END AS line""",
         )
     )
-    texts = lines.groupBy("project", "ordinal").agg(
+    texts = lines.groupBy("project", "piece", "kind").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]
@@ -88,9 +96,9 @@ def corpus_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return texts.selectExpr(
         "project",
-        "ordinal",
-        """CASE ordinal WHEN 0 THEN '.env' WHEN 1 THEN '.env.local'
-           ELSE '.env.production' END AS env_path""",
-        """CASE WHEN project = 'src7' OR (project = 'src3' AND ordinal = 2)
+        "CAST(piece * 3 + kind AS INT) AS ordinal",
+        """concat(CASE kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END,
+                  CASE WHEN piece = 0 THEN '' ELSE concat('.', piece) END) AS env_path""",
+        """CASE WHEN project = 'src7' OR (project = 'src3' AND piece = 0 AND kind = 2)
            THEN CAST(NULL AS STRING) ELSE text END AS content""",
     )

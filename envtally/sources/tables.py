@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.names import DEFAULT_PATTERNS
@@ -22,19 +22,39 @@ from envtally.functions.text import MAX_LINE_BYTES, failure, is_oversize
 DOCKER, SOURCE = "docker", "source"
 
 
+def _is_candidate(files: DataFrame, extensions: Iterable[str]) -> Column:
+    path = F.col("path")
+    test = extension(path).isin(*extensions) | is_dockerfile(path)
+    return test & ~F.col("is_symlink") if "is_symlink" in files.columns else test
+
+
+def _is_ignored(files: DataFrame, ignore: str | Iterable[str]) -> Column:
+    root = F.col("root") if "root" in files.columns else None
+    return has_ignored_directory(F.col("path"), ignore, root)
+
+
 def candidate_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERNS) -> DataFrame:
     """Files with a known extension (case-sensitive) or a Dockerfile-like name."""
-    path = F.col("path")
-    kept = files.where(extension(path).isin(*extensions) | is_dockerfile(path))
-    if "is_symlink" in files.columns:
-        kept = kept.where(~F.col("is_symlink"))
-    return kept
+    return files.where(_is_candidate(files, extensions))
 
 
 def prune_ignored(files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
     """Files with no directory component named in the ignore list."""
-    root = F.col("root") if "root" in files.columns else None
-    return files.where(~has_ignored_directory(F.col("path"), ignore, root))
+    return files.where(~_is_ignored(files, ignore))
+
+
+def counted_files(
+    files: DataFrame,
+    ignore: str | Iterable[str] = (),
+    extensions: Iterable[str] = DEFAULT_PATTERNS,
+) -> DataFrame:
+    """``project, path, multiplicity`` of every file: how often a scan counts it, 0 if never."""
+    scanned = _is_candidate(files, extensions) & ~_is_ignored(files, ignore)
+    return classify_files(files, extensions).select(
+        "project",
+        "path",
+        F.when(scanned, F.col("multiplicity")).otherwise(0).alias("multiplicity"),
+    )
 
 
 def classify_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERNS) -> DataFrame:

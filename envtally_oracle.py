@@ -54,13 +54,14 @@ _CTES = {
                      WHEN n % 9 = 8 THEN concat('var_', n, '=1')
                      ELSE concat(CASE WHEN n % 2 = 0 THEN '  ' ELSE '' END, 'VAR_', n, ' =a=b') END AS line
       FROM (SELECT p_partkey, concat('src', CAST(p_partkey % 20 AS VARCHAR)) AS project,
-              (p_partkey // 20) % 3 AS ordinal, (p_partkey // 60) % 50 AS n FROM part)""",
+              p_partkey // 6000000 AS piece, (p_partkey // 20) % 3 AS env_kind, (p_partkey // 60) % 50 AS n FROM part)""",
     "all_env": """
-      SELECT project, ordinal::INT AS ordinal,
-        CASE ordinal WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END AS env_path,
-        CASE WHEN project = 'src7' OR (project = 'src3' AND ordinal = 2) THEN NULL
+      SELECT project, (piece * 3 + env_kind)::INT AS ordinal,
+        CASE env_kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END
+          || CASE WHEN piece = 0 THEN '' ELSE '.' || piece END AS env_path,
+        CASE WHEN project = 'src7' OR (project = 'src3' AND piece = 0 AND env_kind = 2) THEN NULL
              ELSE string_agg(line, chr(10) ORDER BY p_partkey) END AS content
-      FROM part_lines GROUP BY project, ordinal""",
+      FROM part_lines GROUP BY project, piece, env_kind""",
     "named": r"""
       SELECT *, string_split(path, '/') AS comps, string_split(path, '/')[-1] AS base,
         regexp_extract(string_split(path, '/')[-1], '(\.[^.]*)$', 1) AS ext
