@@ -77,10 +77,10 @@ def may_match(text: Column, patterns: Sequence[str]) -> Column:
         needles = {shared}
     test = F.lit(False)
     for needle in sorted(needles):
-        test = test | F.contains(text, F.lit(needle))
+        test = test | text.contains(needle)
     return test
 
 
 def matches(text: Column, patterns: Sequence[str]) -> Column:
     """Names found by every pattern, one element per occurrence."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p)) for p in patterns])

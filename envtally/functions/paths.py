@@ -21,8 +21,8 @@ def extension(path: Column) -> Column:
 
 
 def is_dockerfile(path: Column) -> Column:
-    named = F.startswith(base_name(path), F.lit("Dockerfile"))
-    return named | F.endswith(path, F.lit(".dockerfile"))
+    named = base_name(path).startswith("Dockerfile")
+    return named | path.endswith(".dockerfile")
 
 
 def walk_key(path: Column) -> Column:

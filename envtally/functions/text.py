@@ -36,7 +36,7 @@ def fields(col: Column) -> Column:
 
 def line_pieces(content: Column) -> Column:
     """Pieces between newlines; none for an empty text, none after a final newline."""
-    ended = F.endswith(content, F.lit("\n"))
+    ended = content.endswith("\n")
     body = F.when(ended, F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
     return F.when(content != "", F.split(body, "\n")).otherwise(F.array().cast("array<string>"))
 
@@ -44,13 +44,13 @@ def line_pieces(content: Column) -> Column:
 def drop_cr(line: Column) -> Column:
     """A line without its trailing CR; one of several only."""
     cut = F.substring(line, F.lit(1), F.length(line) - 1)
-    return F.when(F.endswith(line, F.lit("\r")), cut).otherwise(line)
+    return F.when(line.endswith("\r"), cut).otherwise(line)
 
 
 def join_continued(content: Column) -> Column:
     """Replace each line end after a backslash by one blank, the last one included."""
     joined = F.regexp_replace(content, r"\\[ \t]*\r?(?:\n|\z)", " ")
-    return F.when(F.contains(content, F.lit("\\")), joined).otherwise(content)
+    return F.when(content.contains("\\"), joined).otherwise(content)
 
 
 def is_oversize(content: Column, max_line_bytes: int = MAX_LINE_BYTES) -> Column:
@@ -73,4 +73,4 @@ def failure(content: Column, max_line_bytes: int = MAX_LINE_BYTES) -> Column:
 
 
 def is_significant(trimmed: Column) -> Column:
-    return (trimmed != "") & ~F.startswith(trimmed, F.lit("#"))
+    return (trimmed != "") & ~trimmed.startswith("#")

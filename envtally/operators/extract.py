@@ -70,9 +70,9 @@ def _has_from(logical: Column) -> Column:
 def _env_instruction_names(text: Column) -> Column:
     """Names an ENV instruction declares: ``A=1 B=2``, or ``A some value``."""
     rest = F.regexp_extract(text, rf"(?i:\AENV){BLANK}+([^\n]+)", 1)
-    pairs = F.regexp_extract_all(rest, F.lit(rf"(?:\A|{SPACE})({NAME})="), F.lit(1))
+    pairs = F.regexp_extract_all(rest, F.lit(rf"(?:\A|{SPACE})({NAME})="))
     single = _first_group(rest, rf"\A{SPACE}*({NAME})(?:{SPACE}|\z)")
-    return F.when(F.contains(rest, F.lit("=")), pairs).otherwise(single)
+    return F.when(rest.contains("="), pairs).otherwise(single)
 
 
 def _arg_instruction_names(text: Column) -> Column:
@@ -96,15 +96,15 @@ def _docker_declared_names(text: Column) -> Column:
 
 def _docker_used_names(text: Column) -> Column:
     """Names used on a line, each once."""
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(DOCKER_USE), F.lit(1)))
-    return F.when(F.contains(text, F.lit("$")), names).otherwise(_no_names())
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(DOCKER_USE)))
+    return F.when(text.contains("$"), names).otherwise(_no_names())
 
 
 def _may_have_docker_fact(text: Column) -> Column:
     """A test of the untrimmed line; trimming on the left is enough for it and cheaper."""
     left = F.ltrim(text, F.lit(WHITE_SPACE))
-    named = F.contains(text, F.lit("$")) | _instruction(left, "ENV", "ARG")
-    return named & ~F.startswith(left, F.lit("#"))
+    named = text.contains("$") | _instruction(left, "ENV", "ARG")
+    return named & ~left.startswith("#")
 
 
 def _by_language(patterns: Patterns) -> list[tuple[list[str], tuple[str, ...]]]:
@@ -118,8 +118,8 @@ def _by_language(patterns: Patterns) -> list[tuple[list[str], tuple[str, ...]]]:
 def _names_in_code(lang: Column, text: Column, patterns: Patterns) -> Column:
     names = F.when(F.lit(False), _no_names())
     for exts, regexes in _by_language(patterns):
-        names = names.when(lang.isin(*exts) & may_match(text, regexes), matches(text, regexes))
-    return names.otherwise(_no_names())
+        names = names.when(lang.isin(*exts), matches(text, regexes))
+    return names
 
 
 def _may_have_code_use(lang: Column, text: Column, patterns: Patterns) -> Column:
@@ -224,7 +224,7 @@ def extract_env_facts(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES
             ).alias("pos", "text"),
         )
         .withColumn("line_no", F.when(F.col("failed").isNull(), F.col("pos") + 1))
-        .where(F.col("failed").isNotNull() | F.contains(text, F.lit("=")))
+        .where(F.col("failed").isNotNull() | text.contains("="))
     )
     found = F.when(
         F.col("failed").isNotNull(),

@@ -58,6 +58,8 @@ class ScanResult:
     @cached_property
     def auditable(self) -> DataFrame:
         """Projects with an env file that can be read; the others get no report."""
+        if self.pairs_pinned:
+            return self.report_totals.select("project")
         return readable_projects(self.env_files, self.max_line_bytes)
 
     @cached_property
@@ -95,9 +97,11 @@ class ScanResult:
         measures = [
             "files_scanned", "variables_declared", "variables_used", *counts, "readable_env_files",
         ]
-        return union.groupBy("project").agg(
+        totals = union.groupBy("project").agg(
             *[F.coalesce(F.sum(m), F.lit(0).cast("long")).alias(m) for m in measures]
         ).withColumn("mismatches_found", sum((F.col(c) for c in counts[1:]), F.col(counts[0])))
+        # One row per project, and every part of a report needs it.
+        return pin(totals) if self.pairs_pinned else totals
 
     @cached_property
     def report_totals(self) -> DataFrame:
