@@ -16,8 +16,9 @@ from envtally.functions.json import json_location, json_string
 from envtally.functions.paths import to_slash
 from envtally.operators.extract import CODE_USED, uses_of
 from envtally.operators.ordering import with_position
-from envtally.operators.reconcile import all_locations
+from envtally.operators.reconcile import PAIR, all_locations
 from envtally.operators.rules import RULES
+from envtally.operators.skew import hot_keys, salted_join
 from envtally.plans.scan import ScanResult
 
 TOOL_NAME = "envtally"
@@ -151,12 +152,15 @@ def json_report(result: ScanResult) -> DataFrame:
     )
 
     listed = items.where(section.isin(2, 4)).select("project", "variable", "section", "item")
-    # Every variable of section 4 is in section 2 too. The side that has one row per
-    # variable is joined; a hot variable is on the other side, which adaptive execution splits.
-    missing = listed.where(section == 2).select("project", "variable")
-    uses = uses_of(result.facts, CODE_USED).join(missing, ["project", "variable"], "left_semi")
-    located = all_locations(uses).join(listed, ["project", "variable"])
-    location_pieces = located.select(
+    # Every variable of section 4 is in section 2 too; its locations are joined and ranked once.
+    missing = listed.groupBy(*PAIR).agg(
+        F.collect_list(F.struct("section", "item")).alias("places")  # two at most
+    )
+    uses = uses_of(result.facts, CODE_USED)
+    hot = hot_keys(result.pairs, PAIR, "uses")
+    wanted = salted_join(uses, missing.select(*PAIR), PAIR, "path", "left_semi", hot)
+    located = salted_join(all_locations(wanted), missing, PAIR, "path", hot=hot)
+    location_pieces = located.select("*", F.inline("places")).select(
         "project",
         "section",
         "item",
@@ -166,7 +170,7 @@ def json_report(result: ScanResult) -> DataFrame:
             json_location(F.col("path"), F.col("line_no")),
         ).alias("text"),
     )
-    closings = listed.join(result.pairs.select("project", "variable", "uses"), ["project", "variable"]).select(
+    closings = listed.join(result.pairs.select(*PAIR, "uses"), list(PAIR)).select(
         "project", "section", "item", (F.col("uses") + 1).alias("part"), F.lit("]}").alias("text")
     )
     return (
@@ -199,9 +203,8 @@ def sarif_rules(
 def sarif_results(result: ScanResult) -> DataFrame:
     """Findings in the order of a SARIF document: by rule, then by message text."""
     result = result.with_pinned_pairs()
-    indexed = result.findings.join(
-        sarif_rules(result).select("project", "rule_id", "rule_index"), ["project", "rule_id"]
-    )
+    numbers = sarif_rules(result).select("project", "rule_id", "rule_index")
+    indexed = salted_join(result.findings, numbers, ("project", "rule_id"), "variable")
     return with_position(indexed, ("project",), ("rule_id", "message"), "pos").select(
         "project", "pos", "rule_id", "rule_index", "level", "variable", "message",
         "path", "line_no", "declared_source",

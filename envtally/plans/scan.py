@@ -15,6 +15,7 @@ from envtally.operators.extract import FAILURES, extract_env_facts, extract_fact
 from envtally.operators.pinning import pin
 from envtally.operators.reconcile import pair_findings, reconcile, rule_tests
 from envtally.operators.rules import RULES
+from envtally.operators.skew import salted_join
 from envtally.sources.tables import (
     candidate_files,
     classify_files,
@@ -62,16 +63,18 @@ class ScanResult:
             return self.report_totals.select("project")
         return readable_projects(self.env_files, self.max_line_bytes)
 
+    def _of_auditable(self, rows: DataFrame, spread: str) -> DataFrame:
+        return salted_join(rows, self.auditable, ("project",), spread, "left_semi")
+
     @cached_property
     def findings(self) -> DataFrame:
-        return pair_findings(self.pairs).join(self.auditable, "project", "left_semi")
+        return self._of_auditable(pair_findings(self.pairs), "variable")
 
     @cached_property
     def env_precedence(self) -> DataFrame:
-        return (
-            self.pairs.where(F.col("env_declared"))
-            .select("project", "variable", "declared_source")
-            .join(self.auditable, "project", "left_semi")
+        declared = self.pairs.where(F.col("env_declared"))
+        return self._of_auditable(
+            declared.select("project", "variable", "declared_source"), "variable"
         )
 
     @cached_property
@@ -145,9 +148,8 @@ class ScanResult:
                 F.explode(F.sequence(F.lit(1), F.col("multiplicity"))).alias("times"),
             )
             .drop("times")
-            .join(self.auditable, "project", "left_semi")
         )
-        return in_env.unionByName(in_files)
+        return in_env.unionByName(self._of_auditable(in_files, "path"))
 
 
 def scan(
