@@ -38,6 +38,7 @@ from envtally.functions.text import (
     join_continued,
     trim_space,
 )
+from envtally.operators.lines import significant_lines
 from envtally.sources.tables import DOCKER, SOURCE, classify_files
 
 # Roles of a fact. The failures carry no variable; they are rows like the others so
@@ -290,25 +291,26 @@ def valid_dockerfiles(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) ->
 
 def _instruction_declarations(lines: DataFrame, word: str, names: Column) -> DataFrame:
     return (
-        lines.where(_instruction(F.col("text"), word))
+        significant_lines(lines)
+        .where(_instruction(F.col("text"), word))
         .select("project", "path", "line_no", F.explode(names).alias("variable"))
         .where(F.col("variable") != "")
     )
 
 
-def docker_env_declarations(lines: DataFrame) -> DataFrame:
-    """Variables ENV instructions declare; ``lines`` are significant logical lines."""
-    return _instruction_declarations(lines, "ENV", _env_instruction_names(F.col("text")))
+def docker_env_declarations(logical_lines: DataFrame) -> DataFrame:
+    """Variables ENV instructions declare."""
+    return _instruction_declarations(logical_lines, "ENV", _env_instruction_names(F.col("text")))
 
 
-def docker_arg_declarations(lines: DataFrame) -> DataFrame:
-    """Variables ARG instructions declare; ``lines`` are significant logical lines."""
-    return _instruction_declarations(lines, "ARG", _arg_instruction_names(F.col("text")))
+def docker_arg_declarations(logical_lines: DataFrame) -> DataFrame:
+    """Variables ARG instructions declare."""
+    return _instruction_declarations(logical_lines, "ARG", _arg_instruction_names(F.col("text")))
 
 
-def docker_references(lines: DataFrame) -> DataFrame:
-    """Variables used in Dockerfiles, once per line; ``lines`` are significant logical lines."""
-    return lines.select(
+def docker_references(logical_lines: DataFrame) -> DataFrame:
+    """Variables used in Dockerfiles, once per line."""
+    return significant_lines(logical_lines).select(
         "project", "path", "line_no", F.explode(_docker_used_names(F.col("text"))).alias("variable")
     )
 

@@ -5,7 +5,7 @@ from helpers import env_files_of, files_of, rows
 
 from envtally.functions.names import DEFAULT_PATTERNS
 from envtally.operators import extract as X
-from envtally.operators.lines import logical_lines, significant_lines
+from envtally.operators.lines import logical_lines
 
 
 def uses(df):
@@ -69,7 +69,7 @@ def test_oversize_files_have_no_facts(spark):
 
 
 def docker(spark, text):
-    return significant_lines(logical_lines(files_of(spark, {"Dockerfile": text})))
+    return logical_lines(files_of(spark, {"Dockerfile": text}))
 
 
 @pytest.mark.parametrize(
