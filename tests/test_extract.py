@@ -68,6 +68,18 @@ def test_oversize_files_have_no_facts(spark):
     assert failed == [("code_used", "B", "b.js", 1), ("oversize", None, "a.js", None)]
 
 
+def test_malformed_utf8_is_read_as_it_is(spark):
+    data = [
+        ("a.js", b"\xe2process.env.A\xff\n\xe2"), ("Dockerfile", b"\xe2\nFROM x\nENV A=\xf0 B=1 \xe2\nRUN $C\xe2\n \xf0"),
+        ("b.py", b"os.getenv(\"B\xff\")"),
+    ]
+    files = spark.createDataFrame([("p", p, bytearray(c)) for p, c in data], "project string, path string, content binary")
+    facts = X.extract_facts(files.withColumn("content", files.content.cast("string")))
+    assert rows(facts, "role", "variable", "line_no") == [
+        ("code_used", "A", 1), ("docker_declared", "A", 3), ("docker_declared", "B", 3), ("docker_used", "C", 4)
+    ]
+
+
 def docker(spark, text):
     return logical_lines(files_of(spark, {"Dockerfile": text}))
 

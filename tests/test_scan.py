@@ -187,6 +187,49 @@ CLEAN = {
 }
 
 
+def descriptor(rule_id, name, text):
+    uri = f"{reports.TOOL_URI}#{name}"
+    return {"id": rule_id, "name": name, "shortDescription": {"text": text}, "helpUri": uri}
+
+
+def entry(rule_id, index, level, text, path=None, line=None, source=None):
+    result = {"ruleId": rule_id, "ruleIndex": index, "level": level, "message": {"text": text}}
+    if path:
+        place = {"artifactLocation": {"uri": path}, "region": {"startLine": line}}
+        result["locations"] = [{"physicalLocation": place}]
+    if source:
+        result["properties"] = {"declared_source": source}
+    return result
+
+
+def test_a_document_with_all_rules(spark):
+    files = files_of(
+        spark, {"src/app.go": '\nos.Getenv("GONE")', "Dockerfile": "FROM x\nENV IDLE=1\nRUN $LOST"}
+    )
+    result = scan(files, env_files_of(spark, {".env": "SPARE=1"}))
+    unused = "Variable is declared in .env but not used in code"
+    missing = "Variable is used in code but not declared in .env"
+    nowhere = "Variable is used in code but not declared in Dockerfile or .env"
+    idle = "Variable is declared in Dockerfile but not used in code"
+    lost = "Variable is used in Dockerfile but not declared"
+    document = json.loads(assembled(reports.sarif_report(result), "pos")["p"])
+    assert document["runs"][0]["tool"]["driver"]["rules"] == [
+        descriptor("ENV001", "unused-variable", unused),
+        descriptor("ENV002", "missing-variable", missing),
+        descriptor("ENV003", "code-uses-not-in-docker", nowhere),
+        descriptor("ENV004", "docker-declares-unused", idle),
+        descriptor("ENV005", "docker-uses-undeclared", lost),
+    ]
+    assert document["runs"][0]["results"] == [
+        entry("ENV001", 0, "warning", f"SPARE: {unused}", source=".env"),
+        entry("ENV002", 1, "error", f"GONE: {missing}", "src/app.go", 2),
+        entry("ENV003", 2, "warning", f"GONE: {nowhere}", "src/app.go", 2),
+        entry("ENV004", 3, "warning", f"IDLE: {idle}"),
+        entry("ENV005", 4, "error", f"LOST: {lost}", "Dockerfile", 3),
+    ]
+    assert list(document) == ["version", "$schema", "runs"]
+
+
 def test_a_clean_project(spark):
     files = files_of(spark, {"a.js": "process.env.A"})
     result = scan(files, env_files_of(spark, {".env": "A=1"})).pinned()
