@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint directory and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which ``spark.checkpoint.dir`` names.
 
-    The copy is on shared storage, so a lost executor costs nothing that was written.
-    The directory is the one the session names in ``spark.checkpoint.dir``.
+    Only a local session that names none gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         directory = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,4 +20,13 @@ def pin(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             directory = tempfile.mkdtemp(prefix="envtally-")
         context.setCheckpointDir(directory)
+    return context.getCheckpointDir()
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read on from there.
+
+    The copy outlives executors: one that is lost costs nothing that was written.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
