@@ -310,7 +310,8 @@ def docker_arg_declarations(logical_lines: DataFrame) -> DataFrame:
 
 def docker_references(logical_lines: DataFrame) -> DataFrame:
     """Variables used in Dockerfiles, once per line."""
-    return significant_lines(logical_lines).select(
+    with_use = logical_lines.where(F.col("text").contains("$"))
+    return significant_lines(with_use).select(
         "project", "path", "line_no", F.explode(_docker_used_names(F.col("text"))).alias("variable")
     )
 

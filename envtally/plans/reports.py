@@ -16,7 +16,7 @@ from envtally.functions.json import json_location, json_string
 from envtally.functions.paths import to_slash
 from envtally.operators.extract import CODE_USED, uses_of
 from envtally.operators.ordering import with_position
-from envtally.operators.reconcile import PAIR, all_locations
+from envtally.operators.reconcile import PAIR, all_locations, pair_findings
 from envtally.operators.rules import RULES
 from envtally.operators.skew import hot_keys, salted_join
 from envtally.plans.scan import ScanResult
@@ -203,8 +203,11 @@ def sarif_rules(
 def sarif_results(result: ScanResult) -> DataFrame:
     """Findings in the order of a SARIF document: by rule, then by message text."""
     result = result.with_pinned_pairs()
+    # Projects that get no report have no rules either, so this join leaves them out.
     numbers = sarif_rules(result).select("project", "rule_id", "rule_index")
-    indexed = salted_join(result.findings, numbers, ("project", "rule_id"), "variable")
+    indexed = salted_join(
+        pair_findings(result.pairs), numbers, ("project", "rule_id"), "variable"
+    )
     return with_position(indexed, ("project",), ("rule_id", "message"), "pos").select(
         "project", "pos", "rule_id", "rule_index", "level", "variable", "message",
         "path", "line_no", "declared_source",
