@@ -39,6 +39,7 @@ class ScanResult:
     env_files: DataFrame
     facts: DataFrame
     pairs: DataFrame
+    extensions: tuple[str, ...]
     max_line_bytes: int
     facts_pinned: bool = False
     pairs_pinned: bool = False
@@ -48,7 +49,8 @@ class ScanResult:
         if self.facts_pinned:
             return self.with_pinned_pairs()
         facts = pin(self.facts)
-        return replace(self, facts=facts, pairs=reconcile(facts), facts_pinned=True).with_pinned_pairs()
+        pinned = replace(self, facts=facts, pairs=reconcile(facts), facts_pinned=True)
+        return pinned.with_pinned_pairs()
 
     def with_pinned_pairs(self) -> ScanResult:
         """Enough for use of findings and counts more than once, and less to write."""
@@ -138,8 +140,7 @@ class ScanResult:
             "project", "path", F.lit("env").alias("stage"), F.col("role").alias("reason")
         )
         in_files = (
-            classify_files(failed.where(F.col("ordinal").isNull()))
-            .withColumn("multiplicity", F.greatest("multiplicity", F.lit(1)))
+            classify_files(failed.where(F.col("ordinal").isNull()), self.extensions)
             .select(
                 "project",
                 "path",
@@ -169,6 +170,7 @@ def scan(
         env_files=env_files,
         facts=facts,
         pairs=reconcile(facts),
+        extensions=tuple(patterns),
         max_line_bytes=max_line_bytes,
     )
 

@@ -9,7 +9,7 @@ from helpers import env_files_of, files_of, rows
 from pyspark.sql import functions as F
 
 import brute
-from envtally import scan
+from envtally import DEFAULT_PATTERNS, scan
 from envtally.operators import extract as X
 from envtally.operators import reconcile as R
 from envtally.plans import reports
@@ -264,6 +264,17 @@ def test_later_env_files_win_and_env_only_projects_are_reported(spark):
     assert rows(result.warnings) == [("p", "x", "env", "unreadable")]
 
 
+def test_more_languages(spark):
+    ruby = {**DEFAULT_PATTERNS, ".rb": [r"ENV\['([A-Z_]+)'\]"]}
+    texts = {"a.rb": "ENV['A'] ENV['B']", "b.rb": None, "Dockerfile.rb": None, "c.js": "process.env.C"}
+    result = scan(files_of(spark, texts), env_files_of(spark, {".env": "B=1"}), patterns=ruby)
+    assert rows(result.findings.where("rule_id = 'ENV002'"), "variable", "path") == [("A", "a.rb"), ("C", "c.js")]
+    assert rows(result.warnings, "path", "stage") == [
+        ("Dockerfile.rb", "dockerfile"), ("Dockerfile.rb", "dockerfile"), ("b.rb", "source")
+    ]
+    assert result.summary.first()["files_scanned"] == 5
+
+
 def test_paths_and_names_are_escaped_in_json(spark):
     files = files_of(spark, {'a"b\\c\t<é>/x.js': "process.env.A"}, project='q"')
     env = env_files_of(spark, {'e"\\': "B=1"}, project='q"')
