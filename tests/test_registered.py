@@ -18,13 +18,13 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.own_queries()))
 def test_query_equals_its_sql(spark, con, name):
     assert difference(entry.queries()[name](spark, SF_DIR), con, entry.oracle_sql()[name]) == ""
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.own_queries()) <= set(entry.oracle_sql())
 
 
 def test_known_counts(spark):
