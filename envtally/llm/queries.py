@@ -4,21 +4,105 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from envtally.llm import simhash
+from envtally.llm import (
+    byte_bpe,
+    language_id,
+    mixing,
+    quality_rules,
+    simhash,
+    token_counts,
+    url_filter,
+    warc_fixity,
+)
+from envtally.llm.oracle_sql import FIXITY, QUALITY_RULES, URL_FILTER
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def _quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.digests(byte_bpe.encode(docs, ["doc_id"], RANKS, PATTERN), ["doc_id"])
+
+
+def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], RANKS, PATTERN)
+
+
+def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a replica of the pages' WARC files that has rotted by a fixed rule.
+
+    Every 101st page has its last character replaced, every 103rd is cut to half, and of
+    every fifth file the records from the 200th on are lost.
+    """
+    records = warc_fixity.page_records(table(spark, sf_dir, "pages"))
+    text, page = F.col("text"), F.col("page_id")
+    rotten = (
+        F.when(page % 101 == 7, F.concat(F.expr("left(text, length(text) - 1)"), F.lit("~")))
+        .when(page % 103 == 9, F.expr("left(text, length(text) div 2)"))
+        .otherwise(text)
+    )
+    length, digest = warc_fixity.range_digest(text)
+    found_length, found = warc_fixity.range_digest(rotten)
+    hashed = records.select(
+        "page_id", length.alias("length"), digest.alias("digest"),
+        found_length.alias("found_length"), found.alias("found"),
+    )
+    laid_out = warc_fixity.written(warc_fixity.layout(hashed))
+    place = ["index", "file", "ordinal", "offset"]
+    whole = laid_out.select(*place, "length", "digest", F.lit(0).alias("replica"))
+    copy = laid_out.where("NOT (file % 5 = 3 AND ordinal >= 200)").select(
+        *place, F.col("found_length").alias("length"), F.col("found").alias("digest"), F.lit(1).alias("replica")
+    )
+    damage = warc_fixity.audit(whole.unionByName(copy))
+    pages = laid_out.select("index", "page_id")
+    return damage.join(pages, "index").select(
+        "page_id", "file", "ordinal", "offset", "length", "expected", "found", "damage"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_simhash_near_dedup": _op7,
+    "op2_language_id": _language_id,
+    "op3_quality_rules": _quality_rules,
+    "op4_byte_bpe": _byte_bpe,
+    "op5_mixing": _mixing,
+    "op6_url_filter": _url_filter,
+    "op7_simhash_near_dedup": _simhash,
+    "op8_token_counts": _token_counts,
+    "op10_warc_fixity": _fixity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": QUALITY_RULES,
+    "op6_url_filter": URL_FILTER,
+    "op10_warc_fixity": FIXITY,
+}
