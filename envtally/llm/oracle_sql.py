@@ -67,7 +67,7 @@ sums AS (
     sum(chars - word_chars) AS b, sum(chars) AS t FROM k GROUP BY ref
 ), w AS (SELECT rid, ref, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM k),
 freq AS (
-  SELECT w.ref, word, count(*) AS n FROM w WHERE length(word) <= 6 GROUP BY w.ref, word
+  SELECT w.ref, word, count(*) AS n FROM w WHERE length(word) <= 6 AND regexp_full_match(word, '\p{L}+') GROUP BY w.ref, word
 ), top AS (
   SELECT f.ref, word, n, row_number() OVER (PARTITION BY f.ref ORDER BY n DESC, encode(word)) AS rank
   FROM freq f JOIN sums s ON f.ref IS NOT DISTINCT FROM s.ref WHERE n * 1000 >= reference_words
@@ -108,7 +108,7 @@ freq AS (
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
-  AND NOT (reference_words >= 1000 AND chars >= 200 AND coalesce(cdist > 0.22, false))
-  AND NOT (reference_words >= 1000 AND n_words >= 50 AND coalesce(wdist > 0.55, false)) AS kept
+  AND NOT (reference_words >= 1000 AND chars >= 200 AND coalesce(cdist > 0.28, false))
+  AND NOT (reference_words >= 1000 AND n_words >= 50 AND coalesce(wdist > 0.4, false)) AS kept
 FROM b
 """

@@ -25,8 +25,8 @@ MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
 MIN_REFERENCE_WORDS = 1000
 #: Largest distances that pass.
-MOST_CHAR_DISTANCE = 0.22
-MOST_WORD_DISTANCE = 0.55
+MOST_CHAR_DISTANCE = 0.28
+MOST_WORD_DISTANCE = 0.4
 #: A language with less than one in so many of all words has no reference of its own.
 MOST_REFERENCES = 1000
 #: A common word is at least one in so many of its language's words.
@@ -112,7 +112,7 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``lang, classes, common, shares, reference_words`` of each language; languages.
 
     classes are the shares of character classes; common are its COMMON most frequent words
-    of at most COMMON_LENGTH code points, ties in code point order; shares are theirs among
+    of at most COMMON_LENGTH letters and nothing else, ties in code point order; shares are theirs among
     all words, and last that of all other words. A language with less than one in
     MOST_REFERENCES of all words has none: it shares that of lang null with the documents
     whose lang is null. So there are at most MOST_REFERENCES + 1 rows, and at most
@@ -138,7 +138,7 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         F.sum("n").alias("reference_words"), *(F.sum(c).alias(c) for c in _CLASSES)
     )
     frequent = (
-        pooled.where(F.col("word").isNotNull())
+        pooled.where(F.rlike("word", F.lit(r"^\p{L}+$")))
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
         .join(
