@@ -1,26 +1,55 @@
 """A training corpus from documents: rules, classifier, near-duplicates, mixture, token ids.
 
 STAGES lists the stages in order. Each takes (spark, docs, sf_dir); run() writes the result
-of each as Parquet and gives it, reread, to the next.
+of each as Parquet to the shared folder and gives it, reread, to the next.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from envtally.llm import simhash
+from envtally.llm import byte_bpe, co_training, mixing, quality_rules, simhash
 from envtally.llm.storage import checkpoint_folder
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps; it learns from the labels of those here."""
+    return co_training.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture of sources takes it: not at all, once or twice."""
+    return mixing.repeat(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of each document but its text, its token ids, and their digests."""
+    keys = [c for c in docs.columns if c != "text"]
+    encoded = byte_bpe.encode(docs, keys, RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digests(encoded, [*keys, "ids"])
+
+
 STAGES = [
-    ("simhash_near_dedup", simhash_near_dedup),
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("simhash_near_dedup", near_dedup),
+    ("mixing", mixture),
+    ("byte_bpe", tokens),
 ]
 
 #: The classifier and the solver of the mixture iterate, which SQL cannot express.

@@ -221,6 +221,38 @@ def mix(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return _mixed(rows, keys)
 
 
+def repeat(docs: DataFrame) -> DataFrame:
+    """``docs`` (``doc_id, source, text`` and others) with each row as often as ``mix`` takes it.
+
+    The columns are those of ``docs``. A document without words stays once. Rows that share
+    doc_id, source and text share their copies, the first ones taking the odd ones.
+    """
+    tail = "_" * max(map(len, docs.columns))
+    hash_, total, many, copies = (f"_{n}{tail}" for n in ("hash", "total", "many", "copies"))
+    text_hash = F.xxhash64("text")
+    rows = written(
+        docs.select("doc_id", text_hash.alias("text_hash"), "source", word_count(F.col("text")).alias("size"))
+    )
+    sums = (
+        _mixed(rows, ("doc_id", "text_hash"))
+        .groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("source").alias("_s"))
+        .agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(many))
+    )
+    keyed = docs.withColumn(hash_, text_hash)
+    pairs = {"doc_id": "_d", hash_: "_h", "source": "_s"}
+    same = [keyed[ours].eqNullSafe(F.col(theirs)) for ours, theirs in pairs.items()]
+    joined = keyed.join(written(sums), same[0] & same[1] & same[2])
+    alone = joined.where(F.col(many) == 1).withColumn(copies, F.col(total))
+    number = F.row_number().over(Window.partitionBy("_d", "_h", "_s").orderBy("_h"))
+    each = F.floor(F.col(total) / F.col(many))
+    shared = joined.where(F.col(many) > 1).withColumn(
+        copies, each + (number <= F.col(total) - each * F.col(many)).cast("long")
+    )
+    both = alone.unionByName(shared).where(F.col(copies) > 0)
+    times = F.sequence(F.lit(1).cast("long"), F.col(copies))
+    return both.withColumn(copies, F.explode(times)).select(*docs.columns)
+
+
 def _mixed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     cells = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     sums = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"))

@@ -53,7 +53,6 @@ WITH d AS (
 ), c AS (
   SELECT *, len(words) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, length(text) AS chars,
     length(text) - length(regexp_replace(text, '\p{Lu}+', '', 'g')) AS upper_,
-    length(text) - length(regexp_replace(text, '\p{Nd}+', '', 'g')) AS digit_,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS symbol_,
     length(text) - length(regexp_replace(text, '[^\p{L}\p{Nd}\x20\x09-\x0D#*$%&|<>]+', '', 'g')) AS mark_,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
@@ -62,9 +61,11 @@ WITH d AS (
 own AS (
   SELECT lang FROM langs WHERE lang IS NOT NULL AND n > 0 AND n * 1000 >= (SELECT sum(n) FROM langs)
 ), k AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang END AS ref FROM c),
-sums AS (
-  SELECT ref, sum(n_words) AS reference_words, sum(upper_) AS u, sum(digit_) AS g, sum(symbol_) AS s, sum(mark_) AS m,
-    sum(chars - word_chars) AS b, sum(chars) AS t FROM k GROUP BY ref
+sums AS (SELECT ref, sum(n_words) AS reference_words FROM k GROUP BY ref HAVING sum(n_words) > 0),
+med AS (
+  SELECT ref, quantile_cont(upper_ * 1000 // chars, 0.5) / 1000 AS u, quantile_cont(symbol_ * 1000 // chars, 0.5) / 1000 AS s,
+    quantile_cont(mark_ * 1000 // chars, 0.5) / 1000 AS m, quantile_cont((chars - word_chars) * 1000 // chars, 0.5) / 1000 AS b
+  FROM k WHERE chars > 0 GROUP BY ref
 ), w AS (SELECT rid, ref, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM k),
 freq AS (
   SELECT w.ref, word, count(*) AS n FROM w WHERE length(word) <= 6 AND regexp_full_match(word, '\p{L}+') GROUP BY w.ref, word
@@ -95,20 +96,22 @@ freq AS (
   SELECT rid, sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS d
   FROM pairs GROUP BY rid
 ), classes AS (
-  SELECT k.rid, unnest([upper_, digit_, symbol_, mark_, chars - word_chars, word_chars - upper_ - digit_ - symbol_ - mark_]) / CAST(chars AS DOUBLE) AS p,
-    unnest([u, g, s, m, b, t - u - g - s - m - b]) / CAST(t AS DOUBLE) AS q
-  FROM k JOIN refs r ON k.ref IS NOT DISTINCT FROM r.ref WHERE chars > 0
+  SELECT k.rid, unnest([upper_ / CAST(chars AS DOUBLE), symbol_ / CAST(chars AS DOUBLE), mark_ / CAST(chars AS DOUBLE),
+      (chars - word_chars) / CAST(chars AS DOUBLE),
+      greatest(0, 1 - upper_ / CAST(chars AS DOUBLE) - symbol_ / CAST(chars AS DOUBLE) - mark_ / CAST(chars AS DOUBLE) - (chars - word_chars) / CAST(chars AS DOUBLE))]) AS p,
+    unnest([u, s, m, b, greatest(0, 1 - u - s - m - b)]) AS q
+  FROM k JOIN med ON k.ref IS NOT DISTINCT FROM med.ref WHERE chars > 0
 ), cd AS (
   SELECT rid, sqrt(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2) AS d
   FROM classes GROUP BY rid
 ), z AS (
   SELECT k.doc_id, k.n_words, k.word_chars, k.symbol_ AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, k.chars, r.reference_words, cd.d AS cdist, wd.d AS wdist
-  FROM k JOIN refs r ON k.ref IS NOT DISTINCT FROM r.ref LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)
+  FROM k LEFT JOIN refs r ON k.ref IS NOT DISTINCT FROM r.ref LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)
 ), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed
-  AND NOT (reference_words >= 1000 AND chars >= 200 AND coalesce(cdist > 0.28, false))
-  AND NOT (reference_words >= 1000 AND n_words >= 50 AND coalesce(wdist > 0.4, false)) AS kept
+  AND NOT (coalesce(reference_words, 0) >= 1000 AND chars >= 200 AND coalesce(cdist > 0.16, false))
+  AND NOT (coalesce(reference_words, 0) >= 1000 AND n_words >= 50 AND coalesce(wdist > 0.4, false)) AS kept
 FROM b
 """

@@ -2,8 +2,8 @@
 
 Two histograms of a document are compared with those of its language by the Jensen-Shannon
 distance (base 2, so 0 to 1): classes of characters, and the language's most common words.
-The references are computed from all documents. A text too short for a histogram to mean
-anything is not judged by it.
+The references are computed from all documents: the median share of each class, and the
+shares of the words. A text too short for a histogram to mean anything is not judged by it.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ MIN_CHARS = 200
 MIN_HISTOGRAM_WORDS = 50
 MIN_REFERENCE_WORDS = 1000
 #: Largest distances that pass.
-MOST_CHAR_DISTANCE = 0.28
+MOST_CHAR_DISTANCE = 0.16
 MOST_WORD_DISTANCE = 0.4
 #: A language with less than one in so many of all words has no reference of its own.
 MOST_REFERENCES = 1000
 #: A common word is at least one in so many of its language's words.
 RAREST_COMMON = 1000
-_CLASSES = ("upper", "digit", "symbol", "mark", "space", "chars")
+_CLASSES = ("upper", "symbol", "mark", "space")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -87,55 +87,69 @@ def _with_words(docs: DataFrame, name: str) -> DataFrame:
 
 
 def _classes(text: Column, words: Column) -> list[Column]:
-    """Code points of the classes, and of the whole text; what is in no class is a letter."""
+    """Code points of each class: capitals, symbols, other marks, space."""
     counts = (
         _removed(text, r"\p{Lu}+"),
-        _removed(text, r"\p{Nd}+"),
         _removed(text, SYMBOLS),
         _removed(text, r"[^\p{L}\p{Nd}\x20\x09-\x0D#*$%&|<>]+"),
         F.length(text) - F.length(F.array_join(words, "")),
-        F.length(text),
     )
     return [c.cast("long").alias(n) for n, c in zip(_CLASSES, counts)]
 
 
-def _shares(counts: list[Column]) -> Column:
-    """Shares of the classes and of letters, from counts of which the last is that of all."""
-    *parts, chars = (c.cast("double") for c in counts)
-    letters = chars
-    for part in parts:
-        letters = letters - part
-    return F.array(*(F.try_divide(c, chars) for c in (*parts, letters)))
+def _with_rest(shares: list[Column]) -> Column:
+    """Shares with that of all other characters, in one array."""
+    rest = F.lit(1.0)
+    for share in shares:
+        rest = rest - share
+    return F.array(*shares, F.greatest(rest, F.lit(0.0)))
 
 
 def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``lang, classes, common, shares, reference_words`` of each language; languages.
 
-    classes are the shares of character classes; common are its COMMON most frequent words
+    classes are the median shares of character classes; common are its COMMON most frequent words
     of at most COMMON_LENGTH letters and nothing else, ties in code point order; shares are theirs among
     all words, and last that of all other words. A language with less than one in
     MOST_REFERENCES of all words has none: it shares that of lang null with the documents
     whose lang is null. So there are at most MOST_REFERENCES + 1 rows, and at most
     MOST_REFERENCES languages are listed.
     """
-    counted = _with_words(docs.select("lang", "text"), "w").select(
-        "lang", "w.words", *_classes(F.col("w.text"), F.col("w.words"))
-    )
-    exploded = counted.select("lang", *_CLASSES, F.posexplode_outer("words").alias("at", "word"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    rows = _with_words(docs.select("lang", "text"), "w").select("lang", "w.*")
+    exploded = rows.select("lang", F.explode("words").alias("word"))
+    short = F.when(F.length("word") <= COMMON_LENGTH, F.col("word"))
     by_word = written(
-        exploded.groupBy("lang", F.when(F.length("word") <= COMMON_LENGTH, F.col("word")).alias("word")).agg(
-            F.count("at").alias("n"),
-            *(F.sum(F.when(first, F.col(c)).otherwise(0)).alias(c) for c in _CLASSES),
-        )
+        exploded.groupBy("lang", short.alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    # In thousandths, of which there are 1001: a median of counts, not of documents.
+    parts = _classes(F.col("text"), F.col("words"))
+    measured = rows.where(F.length("text") > 0).select("lang", F.length("text").alias("chars"), *parts)
+    thousandths = F.array(
+        *(F.struct(F.lit(c).alias("part"), F.expr(f"{c} * 1000 div chars").alias("share")) for c in _CLASSES)
+    )
+    by_share = written(
+        measured.select("lang", F.explode(thousandths).alias("x"))
+        .groupBy("lang", "x.part", "x.share")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     by_lang = by_word.groupBy("lang").agg(F.sum("n").alias("n"))
     total = by_lang.agg(F.sum("n")).first()[0] or 0
     enough = F.col("lang").isNotNull() & (F.col("n") > 0) & (F.col("n") * MOST_REFERENCES >= total)
     languages = sorted(r["lang"] for r in by_lang.where(enough).collect())
-    pooled = by_word.withColumn("lang", F.when(F.col("lang").isin(languages), F.col("lang")))
-    sums = pooled.groupBy("lang").agg(
-        F.sum("n").alias("reference_words"), *(F.sum(c).alias(c) for c in _CLASSES)
+    own = F.when(F.col("lang").isin(languages), F.col("lang"))
+    pooled = by_word.withColumn("lang", own)
+    sums = pooled.groupBy("lang").agg(F.sum("n").alias("reference_words"))
+    medians = (
+        by_share.withColumn("lang", own)
+        .groupBy("lang", "part", "share")
+        .agg(F.sum("n").alias("n"))
+        .groupBy(F.col("lang").alias("_m"))
+        .agg(
+            *(
+                F.expr(f"percentile(share, 0.5, if(part = '{c}', n, 0L)) / 1000").alias(c)
+                for c in _CLASSES
+            )
+        )
     )
     frequent = (
         pooled.where(F.rlike("word", F.lit(r"^\p{L}+$")))
@@ -156,17 +170,21 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     )
     share = lambda n: n.cast("double") / F.col("reference_words")
     known = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    rows = sums.join(F.broadcast(listed), F.col("lang").eqNullSafe(F.col("_l")), "left").select(
-        "lang",
-        _shares([F.col(c) for c in _CLASSES]).alias("classes"),
-        F.transform("top", lambda x: x["word"]).alias("common"),
-        F.concat(
-            F.transform("top", lambda x: share(x["n"])),
-            F.array(share(F.col("reference_words") - known)),
-        ).alias("shares"),
-        "reference_words",
+    found = (
+        sums.join(F.broadcast(listed), F.col("lang").eqNullSafe(F.col("_l")), "left")
+        .join(F.broadcast(medians), F.col("lang").eqNullSafe(F.col("_m")))
+        .select(
+            "lang",
+            _with_rest([F.col(c) for c in _CLASSES]).alias("classes"),
+            F.transform("top", lambda x: x["word"]).alias("common"),
+            F.concat(
+                F.transform("top", lambda x: share(x["n"])),
+                F.array(share(F.col("reference_words") - known)),
+            ).alias("shares"),
+            "reference_words",
+        )
     )
-    return rows, languages
+    return found, languages
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -209,6 +227,7 @@ def judged(docs: DataFrame, name: str = "rules") -> DataFrame:
             F.size(words).cast("long").alias("n_words"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             repeated_words(words).cast("long").alias("n_repeat_words"),
+            F.length(text).cast("long").alias("chars"),
             *_classes(text, words),
             histogram.alias("hits"),
         ),
@@ -219,7 +238,7 @@ def judged(docs: DataFrame, name: str = "rules") -> DataFrame:
     told = F.coalesce(F.col(f"{ref}.reference_words") >= MIN_REFERENCE_WORDS, F.lit(False))
     char_distance = F.when(
         told & (of("chars") >= MIN_CHARS),
-        distance(_shares([of(c) for c in _CLASSES]), F.col(f"{ref}.classes")),
+        distance(_with_rest([of(c) / of("chars") for c in _CLASSES]), F.col(f"{ref}.classes")),
     )
     per_word = F.transform(of("hits"), lambda n: n.cast("double") / n_words)
     rest = F.aggregate(of("hits"), F.lit(0), lambda a, n: a + n)

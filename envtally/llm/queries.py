@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from envtally.llm import (
+    ann,
     byte_bpe,
+    co_training,
     language_id,
     mixing,
     quality_rules,
@@ -28,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return co_training.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
@@ -58,6 +64,10 @@ def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], RANKS, PATTERN)
 
 
+def _ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of a replica of the pages' WARC files that has rotted by a fixed rule.
 
@@ -91,6 +101,7 @@ def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_co_training": _co_training,
     "op2_language_id": _language_id,
     "op3_quality_rules": _quality_rules,
     "op4_byte_bpe": _byte_bpe,
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": _url_filter,
     "op7_simhash_near_dedup": _simhash,
     "op8_token_counts": _token_counts,
+    "op9_hash_prefix_forest": _ann,
     "op10_warc_fixity": _fixity,
 }
 

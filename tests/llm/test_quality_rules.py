@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from samples import DOCS, edge_docs, edge_rows, empty_docs, prose, with_clashing_columns
+
+from envtally.llm import quality_rules
+
+
+def base(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    covered = {
+        at + k for at in range(len(words) - 2) if windows[tuple(words[at : at + 3])] > 1 for k in range(3)
+    }
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return (
+        n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered),
+        n < 50 or 100 * len(covered) > 50 * n,
+    )
+
+
+def test_base_counts_equal_brute_force(spark):
+    got = quality_rules.quality_rules(with_clashing_columns(edge_docs(spark)))
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    rows = got.collect()
+    expected = sorted([(r[0], *base(r[1])) for r in edge_rows()], key=str)
+    assert sorted([tuple(r)[:-1] for r in rows], key=str) == expected
+    assert not any(r.kept for r in rows if r.base_failed)
+    assert quality_rules.quality_rules(empty_docs(spark)).collect() == []
+
+
+def test_a_plan_without_python(spark):
+    plan = quality_rules.quality_rules(edge_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+@pytest.mark.parametrize(
+    "words", ["a b c", "a b c a b c", "a a a a", "a b c d a b c", "a b a b a b", "x a b c y a b c z a b c", "a", ""]
+)
+def test_repeated_words(spark, words):
+    column = F.filter(F.split(F.lit(words), " "), lambda w: w != "")
+    assert spark.range(1).select(quality_rules.repeated_words(column)).first()[0] == base(words)[4]
+
+
+def corpus(rng):
+    clean = [(n, prose(rng, rng.randint(60, 300)), "en", "a", 1) for n in range(120)]
+    junk = []
+    for n in range(200, 208):
+        words = prose(rng, 200).split()
+        junk += [
+            (n, " ".join(w + rng.choice(["###", "$$$", "&&&"]) for w in words), "en", "a", 1),
+            (n + 20, " | ".join(w for w in words if len(w) > 5), "en", "a", 1),
+            (n + 40, " ".join(w.upper() + "!!" for w in words), "en", "a", 1),
+            (n + 60, "Shti " * 300, "en", "a", 1),
+        ]
+    return clean, junk
+
+
+def test_clean_documents_stay_and_junk_goes(spark):
+    clean, junk = corpus(random.Random(4))
+    docs = spark.createDataFrame(clean + junk, DOCS)
+    kept = {r.doc_id for r in quality_rules.keep(docs).collect()}
+    assert kept == {r[0] for r in clean}
+    columns = with_clashing_columns(docs)
+    assert quality_rules.keep(columns).columns == columns.columns
+
+
+def test_distances_equal_their_definition(spark):
+    import math
+
+    p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
+    middle = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / m) for a, m in zip(x, middle) if a)
+    expected = math.sqrt((kl(p) + kl(q)) / 2)
+    arrays = [F.array(*map(F.lit, x)) for x in (p, q)]
+    assert spark.range(1).select(quality_rules.distance(*arrays)).first()[0] == pytest.approx(expected)
+
+
+def test_few_words_of_a_language_judge_nothing(spark):
+    docs = spark.createDataFrame([(1, "### " * 60 + " ".join(f"w{n}" for n in range(90)), "en", "a", 1)], DOCS)
+    found = quality_rules.judged(docs).select("rules.*").first()
+    assert found.char_distance is None and found.word_distance is None and found.base_failed is False and found.kept
+
+
+def test_rare_languages_share_a_reference(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MOST_REFERENCES", 4)
+    rng = random.Random(1)
+    rows = [(n, prose(rng, 100), "en" if n < 80 else f"l{n}", "a", 1) for n in range(100)]
+    reference, languages = quality_rules.references(spark.createDataFrame(rows, DOCS))
+    assert languages == ["en"]
+    found = {r["lang"]: r["reference_words"] for r in reference.collect()}
+    assert set(found) == {"en", None} and found["en"] == 4 * found[None]

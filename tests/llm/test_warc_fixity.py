@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import hashlib
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from envtally.llm import warc_fixity as W
+from envtally.llm.storage import checkpoint_folder
+
+PAGES = "page_id long, url string, html string, digest string, file string"
+
+
+def pages(spark, n=700):
+    rows = [(i, f"http://a.b/{i}", f"<html>é{i}" + "x" * (i % 50), "clash", "clash") for i in range(n)]
+    rows += [(3, rows[3][1], rows[3][2], "", ""), (None, None, None, None, None), (5, "http://a\r\nb", "", "", "")]
+    return spark.createDataFrame(rows, PAGES).repartition(5)
+
+
+def laid_out(table):
+    records = W.page_records(table)
+    length, digest = W.range_digest(F.col("text"))
+    return W.written(W.layout(records.withColumns({"length": length, "digest": digest})))
+
+
+def leaves(records, replica):
+    return records.select("index", "file", "ordinal", "offset", "length", "digest", F.lit(replica).alias("replica"))
+
+
+def test_layout_is_a_contiguous_order(spark):
+    rows = sorted(laid_out(pages(spark)).collect(), key=lambda r: r["index"])
+    assert [r["index"] for r in rows] == list(range(703))
+    ends = {}
+    for n, r in enumerate(rows):
+        assert (r["file"], r["ordinal"]) == divmod(n, W.RECORDS_PER_FILE)
+        assert r["offset"] == ends.get(r["file"], 0)
+        whole = r["text"].encode() + b"\r\n\r\n"
+        assert r["length"] == len(whole) and r["digest"] == hashlib.sha256(whole).hexdigest()
+        ends[r["file"]] = r["offset"] + r["length"]
+    assert [r["page_id"] for r in rows][:2] == [None, 0]
+    assert laid_out(pages(spark).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("damaged", [[], [0], [702], [17, 18, 400], list(range(0, 703, 5))])
+def test_audit_finds_exactly_the_damage(spark, damaged):
+    left = leaves(laid_out(pages(spark)), 0)
+    hit = F.col("index").isin(damaged) if damaged else F.lit(False)
+    changed = F.when(hit, F.sha2("digest", 256)).otherwise(F.col("digest"))
+    gone = hit & (F.col("index") % 2 == 1)
+    right = left.where(~gone).withColumns({"digest": changed, "replica": F.lit(1)})
+    got = W.audit(left.unionByName(right)).collect()
+    assert sorted(r["index"] for r in got) == damaged
+    assert all(r["damage"] == ("missing" if r["index"] % 2 else "altered") for r in got)
+    assert all((r["found"] is None) == (r["damage"] == "missing") for r in got)
+
+
+def test_only_branches_that_differ_are_compared(spark, monkeypatch):
+    left = leaves(laid_out(pages(spark)), 0)
+    right = left.withColumns({"digest": F.when(F.col("index") == 300, "bad").otherwise(F.col("digest")), "replica": F.lit(1)})
+    levels = W.tree(left.unionByName(right))
+    assert [level.count() for level in levels] == [2 * 703, 2 * 44, 2 * 3, 2]
+    roots = {r["replica"]: r["digest"] for r in levels[-1].collect()}
+    assert roots[0] != roots[1]
+    suspects = levels[0].where("index div 16 = 18")
+    assert [r["index"] for r in W.differing(levels, 0, 1).collect()] == [300] and suspects.count() == 32
+
+
+def test_extra_records_and_empty_replicas(spark):
+    all_ = leaves(laid_out(pages(spark, 40)), 1)
+    left = all_.where("index < 40").withColumn("replica", F.lit(0))
+    got = W.audit(left.unionByName(all_)).collect()
+    assert sorted((r["index"], r["damage"]) for r in got) == [(n, "extra") for n in (40, 41, 42)]
+    assert W.audit(W.empty_leaves(spark)).collect() == []
+    assert W.audit(all_.withColumn("replica", F.lit(0))).count() == 43
+
+
+def test_written_files_are_warc_and_can_be_audited(spark):
+    records = laid_out(pages(spark))
+    folder = f"{checkpoint_folder(spark)}/warc"
+    W.write_warc(records, folder)
+    manifest = leaves(records, 0)
+    stored = W.stored_replica(spark, f"{folder}/*", manifest).withColumn("replica", F.lit(1))
+    assert W.audit(manifest.unionByName(stored)).collect() == []
+    local = folder.removeprefix("file:") + "/file=1"
+    name = next(n for n in os.listdir(local) if n.startswith("part-"))
+    with open(f"{local}/{name}", "rb") as file:
+        data = bytearray(file.read())
+    assert data.startswith(b"WARC/1.1\r\nWARC-Type: resource\r\n")
+    where = {r["ordinal"]: r["offset"] for r in manifest.where("file = 1").collect()}
+    data[where[9] + 3] ^= 1
+    with open(f"{local}/{name}", "wb") as file:
+        file.write(data[: where[250] + 1])
+    with open(f"{local}/.{name}.crc", "wb"):
+        pass
+    os.remove(f"{local}/.{name}.crc")
+    got = W.audit(manifest.unionByName(W.stored_replica(spark, f"{folder}/*", manifest).withColumn("replica", F.lit(1))))
+    found = {r["ordinal"]: r["damage"] for r in got.collect()}
+    assert found == {9: "altered", 250: "altered", **{n: "missing" for n in range(251, 256)}}
