@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from envtally.llm.storage import written
 
-TREES = 16
+TREES = 24
 BITS = 64
 NEIGHBOURS = 20
 #: Candidates to count over all trees before the ascent stops, per root of the vectors.
-BUDGET = 120
+BUDGET = 180
 #: Least vectors of a cell, and vectors per root of all; MOST_CELLS bounds the cut points.
 CELL = 4096
 CELL_PER_ROOT = 16
