@@ -43,9 +43,9 @@ def to_slash(path: Column) -> Column:
 
 
 def parse_ignore(ignore: str | Iterable[str]) -> list[str]:
-    """Directory names from a comma list or a sequence, trimmed."""
+    """Directory names from a comma list or a sequence, trimmed; no directory has an empty name."""
     names = ignore.split(",") if isinstance(ignore, str) else ignore
-    return [name.strip() for name in names]
+    return [name.strip() for name in names if name.strip()]
 
 
 def has_ignored_directory(path: Column, ignore: Iterable[str], root: Column | None = None) -> Column:

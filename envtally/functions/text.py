@@ -29,11 +29,6 @@ def trim_space(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITE_SPACE))
 
 
-def fields(col: Column) -> Column:
-    """Split on runs of white space, no empty pieces."""
-    return F.filter(F.split(col, f"{SPACE}+"), lambda piece: piece != "")
-
-
 def line_pieces(content: Column) -> Column:
     """Pieces between newlines; none for an empty text, none after a final newline."""
     ended = content.endswith("\n")
@@ -65,11 +60,12 @@ def is_oversize(content: Column, max_line_bytes: int = MAX_LINE_BYTES) -> Column
     )
 
 
-def failure(content: Column, max_line_bytes: int = MAX_LINE_BYTES) -> Column:
-    """Why a file cannot be read as lines; NULL if it can."""
-    return F.when(content.isNull(), F.lit("unreadable")).when(
-        is_oversize(content, max_line_bytes), F.lit("oversize")
-    )
+def failure(content: Column, max_line_bytes: int | None = None) -> Column:
+    """Why a file cannot be read as lines; NULL if it can. Lines are of any length by default."""
+    reason = F.when(content.isNull(), F.lit("unreadable"))
+    if max_line_bytes is None:
+        return reason
+    return reason.when(is_oversize(content, max_line_bytes), F.lit("oversize"))
 
 
 def is_significant(trimmed: Column) -> Column:

@@ -29,7 +29,6 @@ from envtally.functions.names import (
 from envtally.functions.text import (
     BLANK,
     BLANKS,
-    MAX_LINE_BYTES,
     NOT_SPACE,
     SPACE,
     SPACE_IN_LINE,
@@ -147,7 +146,7 @@ def _found(role: str | Column, names: Column) -> Column:
     return F.struct(role.alias("role"), names.alias("names"))
 
 
-def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_line_bytes: int) -> DataFrame:
+def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_line_bytes: int | None) -> DataFrame:
     """Facts of the files of the given kinds; the plan holds what those kinds need only."""
     content, lang, text = F.col("content"), F.col("lang"), F.col("text")
 
@@ -202,13 +201,13 @@ def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_
 def extract_facts(
     files: DataFrame,
     patterns: Patterns = DEFAULT_PATTERNS,
-    max_line_bytes: int = MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """Facts of code and Dockerfiles, and failures, from one read of ``files``."""
     return _facts_of(files, (DOCKER, SOURCE), patterns, max_line_bytes)
 
 
-def extract_env_facts(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def extract_env_facts(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Declarations in env files, and failures, in the shape of ``extract_facts``."""
     content, text = F.col("content"), F.col("text")
     failed = failure(content, max_line_bytes)
@@ -236,17 +235,20 @@ def extract_env_facts(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES
     return _fact_rows(lines, found, F.col("ordinal"))
 
 
-def env_declarations(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def env_declarations(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Variables each env file declares, each once per file."""
     facts = extract_env_facts(env_files, max_line_bytes)
     return env_declarations_of(facts)
 
 
 def env_declarations_of(facts: DataFrame) -> DataFrame:
-    return (
-        facts.where(F.col("role") == ENV_DECLARED)
-        .select("project", "ordinal", F.col("path").alias("env_path"), "variable")
-        .distinct()
+    return env_occurrences_of(facts).distinct()
+
+
+def env_occurrences_of(facts: DataFrame) -> DataFrame:
+    """Declarations as often as they are written; enough for what groups or subtracts them."""
+    return facts.where(F.col("role") == ENV_DECLARED).select(
+        "project", "ordinal", F.col("path").alias("env_path"), "variable"
     )
 
 
@@ -258,7 +260,7 @@ def uses_of(facts: DataFrame, role: str) -> DataFrame:
 def code_references(
     files: DataFrame,
     patterns: Patterns = DEFAULT_PATTERNS,
-    max_line_bytes: int = MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """Variables read in source files, one row per occurrence."""
     return uses_of(_facts_of(files, (SOURCE,), patterns, max_line_bytes), CODE_USED)
@@ -268,19 +270,19 @@ def _language_references(files: DataFrame, exts: Iterable[str], regexes, max_lin
     return code_references(files, {ext: regexes for ext in exts}, max_line_bytes)
 
 
-def js_references(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def js_references(files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     return _language_references(files, (".js", ".ts"), JS_PATTERNS, max_line_bytes)
 
 
-def go_references(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def go_references(files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     return _language_references(files, (".go",), GO_PATTERNS, max_line_bytes)
 
 
-def python_references(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def python_references(files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     return _language_references(files, (".py",), PYTHON_PATTERNS, max_line_bytes)
 
 
-def valid_dockerfiles(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def valid_dockerfiles(files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Dockerfiles that can be read and have a FROM instruction; all columns kept."""
     content = F.col("content")
     dockerfiles = classify_files(files).where(F.col("kind") == DOCKER).select(*files.columns)
@@ -316,7 +318,7 @@ def docker_references(logical_lines: DataFrame) -> DataFrame:
     )
 
 
-def docker_declarations(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def docker_declarations(files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Variables declared in any stage of any Dockerfile of a project."""
     return docker_declarations_of(_facts_of(files, (DOCKER,), DEFAULT_PATTERNS, max_line_bytes))
 

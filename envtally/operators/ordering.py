@@ -15,28 +15,23 @@ def with_position(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
 
     A window over the group alone sorts a hot group in one task. Here the rows are range
     partitioned by group and order, so a hot group spans many slices; a row's position is
-    its position in its slice plus the size of the group's earlier slices. Only the first
-    and the last group of a slice can span slices, which bounds both tables that are
-    broadcast: two groups per slice, and one offset per slice but the first. The slices
-    are pinned, because a second sampling of the ranges could cut elsewhere. Group columns
-    must not be NULL.
+    its position in its slice plus the size of the group's earlier slices. A slice has at
+    most one group that began before it, so the offsets that are broadcast are fewer than the
+    slices. Ranges are sampled, which runs what is below a second time: pass a ``df`` that
+    is pinned or cheap. The slices are pinned, because a second sampling could cut elsewhere.
+    Group columns must not be NULL.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(slices, *group, *order)
     sliced = pin(ranged.withColumn("_slice", F.spark_partition_id()))
 
-    ends = sliced.groupBy("_slice").agg(
-        F.min(F.struct(*group)).alias("first"), F.max(F.struct(*group)).alias("last")
-    )
-    at_ends = ends.select(F.explode(F.array("first", "last")).alias("group")).select("group.*")
     earlier = (
         Window.partitionBy(*group)
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        sliced.join(F.broadcast(at_ends), list(group), "left_semi")
-        .groupBy(*group, "_slice")
+        sliced.groupBy(*group, "_slice")
         .agg(F.count(F.lit(1)).alias("_size"))
         .withColumn("_before", F.sum("_size").over(earlier))
         .where(F.col("_before") > 0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,16 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session, which ``spark.checkpoint.dir`` names.
 
-    Only a local session that names none gets a temporary one.
+    Where that is unset it is a folder below the session's warehouse, which all executors
+    share as well.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        directory = spark.conf.get("spark.checkpoint.dir", None)
-        if not directory:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            directory = tempfile.mkdtemp(prefix="envtally-")
-        context.setCheckpointDir(directory)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        context.setCheckpointDir(folder or f"{warehouse}/checkpoints-{uuid.uuid4()}")
     return context.getCheckpointDir()
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from envtally.functions.paths import path_of_walk_key, walk_key
 from envtally.operators.extract import CODE_USED, DOCKER_DECLARED, DOCKER_USED, ENV_DECLARED
 from envtally.operators.ordering import with_position
+from envtally.operators.pinning import pin
 from envtally.operators.rules import RULES
 
 PAIR = ("project", "variable")
@@ -39,8 +40,11 @@ def used_variables(references: DataFrame) -> DataFrame:
 
 
 def all_locations(references: DataFrame) -> DataFrame:
-    """Every occurrence, with its position among those of its variable in walk order."""
-    keyed = references.select(*PAIR, walk_key(F.col("path")).alias("key"), "line_no")
+    """Every occurrence, with its position among those of its variable in walk order.
+
+    The references are pinned first, so that sampling their ranges reads no text again.
+    """
+    keyed = pin(references.select(*PAIR, walk_key(F.col("path")).alias("key"), "line_no"))
     return with_position(keyed, PAIR, ("key", "line_no"), "pos").select(
         *PAIR, "pos", path_of_walk_key(F.col("key")).alias("path"), "line_no"
     )
@@ -77,21 +81,28 @@ def missing(declared: DataFrame, references: DataFrame) -> DataFrame:
     return _minus(first_locations(references), declared)
 
 
-def code_uses_not_in_docker(
-    declared: DataFrame, docker_declared: DataFrame, references: DataFrame
-) -> DataFrame:
+def code_uses_not_in_docker(facts: DataFrame) -> DataFrame:
     """Used in code, declared neither in a Dockerfile nor in an env file."""
-    return _minus(first_locations(references), declared, docker_declared)
+    return _broken(facts, (CODE_USED, DOCKER_DECLARED, ENV_DECLARED), "ENV003").select(
+        *PAIR, F.col("use_path").alias("path"), F.col("use_line").alias("line_no")
+    )
 
 
-def docker_declares_unused(docker_declared: DataFrame, used: DataFrame) -> DataFrame:
+def docker_declares_unused(facts: DataFrame) -> DataFrame:
     """Declared in a Dockerfile, not used in code."""
-    return _minus(docker_declared.select(*PAIR).distinct(), used)
+    return _broken(facts, (DOCKER_DECLARED, CODE_USED), "ENV004").select(*PAIR)
 
 
-def docker_uses_undeclared(docker_declared: DataFrame, docker_references: DataFrame) -> DataFrame:
+def docker_uses_undeclared(facts: DataFrame) -> DataFrame:
     """Used in a Dockerfile, declared in none; env files do not count."""
-    return _minus(docker_first_locations(docker_references), docker_declared)
+    return _broken(facts, (DOCKER_USED, DOCKER_DECLARED), "ENV005").select(
+        *PAIR, F.col("docker_path").alias("path"), F.col("docker_line").alias("line_no")
+    )
+
+
+def _broken(facts: DataFrame, roles: tuple[str, ...], rule_id: str) -> DataFrame:
+    """Variables that break a rule, by one aggregate of the facts it looks at."""
+    return reconcile(facts.where(F.col("role").isin(*roles))).where(rule_tests()[rule_id])
 
 
 def reconcile(facts: DataFrame) -> DataFrame:

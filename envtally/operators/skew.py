@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
 _MOST_HOT_KEYS = 1000
 
 
@@ -22,21 +21,20 @@ def salted_join(
     small: DataFrame,
     keys: Sequence[str],
     spread: str,
+    hot: DataFrame,
     how: str = "inner",
-    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """``large`` joined with ``small``, each key of ``large`` spread over tasks by ``spread``.
+    """``large`` joined with ``small``, the hot keys of ``large`` spread over tasks by ``spread``.
 
-    ``small`` is repeated once per salt. With ``hot`` (the result of ``hot_keys``, whose
-    size is bounded and which is therefore broadcast) only those keys are salted.
+    ``hot`` is the result of ``hot_keys``, whose size is bounded and which is therefore
+    broadcast. Rows of ``small`` with a hot key are repeated once per shuffle partition, so
+    the spread grows with the cluster; rows with other keys are not repeated.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    if hot is not None:
-        marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-        large, small = (side.join(marked, list(keys), "left") for side in (large, small))
-        salt = F.when(F.col("_hot"), salt).otherwise(0)
-        salts = F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0)))
+    parts = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    large, small = (side.join(marked, list(keys), "left") for side in (large, small))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     large = large.withColumn("_salt", salt).drop("_hot")
     small = small.withColumn("_salt", F.explode(salts)).drop("_hot")
     return large.join(small, [*keys, "_salt"], how).drop("_salt")

@@ -104,6 +104,10 @@ def json_report(result: ScanResult) -> DataFrame:
             F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("text"),
         )
 
+    def last_closed(rule_id: str) -> Column:
+        """What ends the last variable with locations, where there is one."""
+        return F.when(F.col(rule_id) > 0, "]}").otherwise("")
+
     summary = F.to_json(
         F.struct("files_scanned", "variables_declared", "variables_used", "mismatches_found")
     )
@@ -113,9 +117,9 @@ def json_report(result: ScanResult) -> DataFrame:
         [
             opening(1, '{"summary":', summary, ',"unused":['),
             opening(2, '],"missing":['),
-            opening(3, '],"declared_sources":{'),
+            opening(3, last_closed("ENV002"), '],"declared_sources":{'),
             opening(4, '},"dockerfile_issues":{"code_uses_not_in_docker":['),
-            opening(5, '],"docker_declares_unused":['),
+            opening(5, last_closed("ENV003"), '],"docker_declares_unused":['),
             opening(6, '],"docker_uses_undeclared":['),
             opening(7, "]}}"),
         ],
@@ -130,7 +134,7 @@ def json_report(result: ScanResult) -> DataFrame:
     ).unionByName(sources, allowMissingColumns=True)
     items = with_position(entries, ("project", "section"), ("variable",), "item")
     section, name = F.col("section"), json_string(F.col("variable"))
-    comma = F.when(F.col("item") > 1, F.lit(",")).otherwise(F.lit(""))
+    comma = F.when(F.col("item") == 1, "").when(section.isin(2, 4), "]},").otherwise(",")
     item_pieces = items.select(
         "project",
         "section",
@@ -158,8 +162,8 @@ def json_report(result: ScanResult) -> DataFrame:
     )
     uses = uses_of(result.facts, CODE_USED)
     hot = hot_keys(result.pairs, PAIR, "uses")
-    wanted = salted_join(uses, missing.select(*PAIR), PAIR, "path", "left_semi", hot)
-    located = salted_join(all_locations(wanted), missing, PAIR, "path", hot=hot)
+    wanted = salted_join(uses, missing.select(*PAIR), PAIR, "path", hot, "left_semi")
+    located = salted_join(all_locations(wanted), missing, PAIR, "path", hot)
     location_pieces = located.select("*", F.inline("places")).select(
         "project",
         "section",
@@ -170,11 +174,8 @@ def json_report(result: ScanResult) -> DataFrame:
             json_location(F.col("path"), F.col("line_no")),
         ).alias("text"),
     )
-    closings = listed.join(result.pairs.select(*PAIR, "uses"), list(PAIR)).select(
-        "project", "section", "item", (F.col("uses") + 1).alias("part"), F.lit("]}").alias("text")
-    )
     return (
-        skeleton.unionByName(item_pieces).unionByName(location_pieces).unionByName(closings)
+        skeleton.unionByName(item_pieces).unionByName(location_pieces)
         .select("project", *order, "text")
     )
 
@@ -203,10 +204,17 @@ def sarif_rules(
 def sarif_results(result: ScanResult) -> DataFrame:
     """Findings in the order of a SARIF document: by rule, then by message text."""
     result = result.with_pinned_pairs()
-    # Projects that get no report have no rules either, so this join leaves them out.
-    numbers = sarif_rules(result).select("project", "rule_id", "rule_index")
-    indexed = salted_join(
-        pair_findings(result.pairs), numbers, ("project", "rule_id"), "variable"
+    index = F.lit(None).cast("int")
+    for number, rule in enumerate(RULES):
+        before = sum(((F.col(r.rule_id) > 0).cast("int") for r in RULES[:number]), F.lit(0))
+        index = F.when(F.col("rule_id") == rule.rule_id, before).otherwise(index)
+    # One row for each project, the same that leaves out those that get no report.
+    counts = result.report_totals.select("project", *[rule.rule_id for rule in RULES])
+    indexed = (
+        pair_findings(result.pairs)
+        .join(counts, "project")
+        .withColumn("rule_index", index)
+        .drop(*[rule.rule_id for rule in RULES])
     )
     return with_position(indexed, ("project",), ("rule_id", "message"), "pos").select(
         "project", "pos", "rule_id", "rule_index", "level", "variable", "message",

@@ -10,12 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.names import DEFAULT_PATTERNS, Patterns
-from envtally.functions.text import MAX_LINE_BYTES
 from envtally.operators.extract import FAILURES, extract_env_facts, extract_facts
 from envtally.operators.pinning import pin
 from envtally.operators.reconcile import pair_findings, reconcile, rule_tests
 from envtally.operators.rules import RULES
-from envtally.operators.skew import salted_join
 from envtally.sources.tables import (
     candidate_files,
     classify_files,
@@ -40,7 +38,7 @@ class ScanResult:
     facts: DataFrame
     pairs: DataFrame
     extensions: tuple[str, ...]
-    max_line_bytes: int
+    max_line_bytes: int | None
     facts_pinned: bool = False
     pairs_pinned: bool = False
 
@@ -63,21 +61,24 @@ class ScanResult:
         """Projects with an env file that can be read; the others get no report."""
         if self.pairs_pinned:
             return self.report_totals.select("project")
-        return readable_projects(self.env_files, self.max_line_bytes)
+        unknown = self.files.where("unlistable").select("project").distinct()
+        return readable_projects(self.env_files, self.max_line_bytes).join(
+            unknown, "project", "left_anti"
+        )
 
-    def _of_auditable(self, rows: DataFrame, spread: str) -> DataFrame:
-        return salted_join(rows, self.auditable, ("project",), spread, "left_semi")
+    def _of_auditable(self, rows: DataFrame) -> DataFrame:
+        """Rows of projects that can be audited. Of a hot project, adaptive execution splits
+        the rows; the other side has one row per project."""
+        return rows.join(self.auditable, "project", "left_semi")
 
     @cached_property
     def findings(self) -> DataFrame:
-        return self._of_auditable(pair_findings(self.pairs), "variable")
+        return self._of_auditable(pair_findings(self.pairs))
 
     @cached_property
     def env_precedence(self) -> DataFrame:
         declared = self.pairs.where(F.col("env_declared"))
-        return self._of_auditable(
-            declared.select("project", "variable", "declared_source"), "variable"
-        )
+        return self._of_auditable(declared.select("project", "variable", "declared_source"))
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -88,7 +89,8 @@ class ScanResult:
         """
         counts = [rule.rule_id for rule in RULES]
         by_file = self.files.groupBy("project").agg(
-            F.sum(F.col("multiplicity").cast("long")).alias("files_scanned")
+            F.sum(F.col("multiplicity").cast("long")).alias("files_scanned"),
+            F.sum(F.col("unlistable").cast("long")).alias("unlistable"),
         )
         by_pair = self.pairs.groupBy("project").agg(
             F.sum(F.col("env_declared").cast("long")).alias("variables_declared"),
@@ -101,6 +103,7 @@ class ScanResult:
         )
         measures = [
             "files_scanned", "variables_declared", "variables_used", *counts, "readable_env_files",
+            "unlistable",
         ]
         totals = union.groupBy("project").agg(
             *[F.coalesce(F.sum(m), F.lit(0).cast("long")).alias(m) for m in measures]
@@ -110,7 +113,7 @@ class ScanResult:
 
     @cached_property
     def report_totals(self) -> DataFrame:
-        return self.totals.where(F.col("readable_env_files") > 0)
+        return self.totals.where((F.col("readable_env_files") > 0) & (F.col("unlistable") == 0))
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -123,7 +126,7 @@ class ScanResult:
         """2: cannot be audited, 1: has findings, 0: clean."""
         return self.totals.select(
             "project",
-            F.when(F.col("readable_env_files") == 0, 2)
+            F.when((F.col("readable_env_files") == 0) | (F.col("unlistable") > 0), 2)
             .when(F.col("mismatches_found") > 0, 1)
             .otherwise(0)
             .alias("status"),
@@ -131,7 +134,8 @@ class ScanResult:
 
     @cached_property
     def warnings(self) -> DataFrame:
-        """Files that could not be read, once for each time a scan comes across them.
+        """Files that could not be read, once for each time a scan comes across them, and
+        directories that could not be listed.
 
         The files of a project that cannot be audited are never looked at.
         """
@@ -150,7 +154,10 @@ class ScanResult:
             )
             .drop("times")
         )
-        return in_env.unionByName(self._of_auditable(in_files, "path"))
+        directories = self.files.where("unlistable").select(
+            "project", "path", F.lit("walk").alias("stage"), F.lit("unlistable").alias("reason")
+        )
+        return in_env.unionByName(self._of_auditable(in_files)).unionByName(directories)
 
 
 def scan(
@@ -158,7 +165,7 @@ def scan(
     env_files: DataFrame,
     ignore: str | Iterable[str] = (),
     patterns: Patterns = DEFAULT_PATTERNS,
-    max_line_bytes: int = MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> ScanResult:
     """Audit every project of ``files`` against its ``env_files``."""
     kept = prune_ignored(candidate_files(files, patterns), ignore)
@@ -175,17 +182,21 @@ def scan(
     )
 
 
-def findings(files: DataFrame, env_files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
-    return scan(files, env_files, ignore).findings
+def findings(files: DataFrame, env_files: DataFrame, *options, **more) -> DataFrame:
+    """Findings of a ``scan`` with these options."""
+    return scan(files, env_files, *options, **more).findings
 
 
-def warnings(files: DataFrame, env_files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
-    return scan(files, env_files, ignore).warnings
+def warnings(files: DataFrame, env_files: DataFrame, *options, **more) -> DataFrame:
+    """Warnings of a ``scan`` with these options."""
+    return scan(files, env_files, *options, **more).warnings
 
 
-def summary(files: DataFrame, env_files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
-    return scan(files, env_files, ignore).summary
+def summary(files: DataFrame, env_files: DataFrame, *options, **more) -> DataFrame:
+    """Summary of a ``scan`` with these options."""
+    return scan(files, env_files, *options, **more).summary
 
 
-def gate(files: DataFrame, env_files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
-    return scan(files, env_files, ignore).gate
+def gate(files: DataFrame, env_files: DataFrame, *options, **more) -> DataFrame:
+    """Gate of a ``scan`` with these options."""
+    return scan(files, env_files, *options, **more).gate

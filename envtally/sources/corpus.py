@@ -61,22 +61,17 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three env files per project, and three more for every 6,000,000 parts.
-
-    So a file has at most 100,000 lines, however many parts there are.
-    """
+    """Three env files per project, each of distinct lines, of which there are 50 at most."""
     lines = (
         spark.read.parquet(f"{sf_dir}/part.parquet")
         .selectExpr(
             "p_partkey",
             "concat('src', CAST(p_partkey % 20 AS STRING)) AS project",
-            "p_partkey div 6000000 AS piece",
             "(p_partkey div 20) % 3 AS kind",
             "(p_partkey div 60) % 50 AS n",
         )
         .selectExpr(
             "project",
-            "piece",
             "kind",
             "p_partkey",
             """CASE WHEN n % 9 = 4 THEN concat('# VAR_', n, '=off')
@@ -85,20 +80,21 @@ def corpus_env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ELSE concat(CASE WHEN n % 2 = 0 THEN '  ' ELSE '' END, 'VAR_', n, ' =a=b')
                END AS line""",
         )
+        .groupBy("project", "kind", "line")
+        .agg(F.min("p_partkey").alias("first_part"))
     )
-    texts = lines.groupBy("project", "piece", "kind").agg(
+    texts = lines.groupBy("project", "kind").agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]
+                F.array_sort(F.collect_list(F.struct("first_part", "line"))), lambda x: x["line"]
             ),
             "\n",
         ).alias("text")
     )
     return texts.selectExpr(
         "project",
-        "CAST(piece * 3 + kind AS INT) AS ordinal",
-        """concat(CASE kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END,
-                  CASE WHEN piece = 0 THEN '' ELSE concat('.', piece) END) AS env_path""",
-        """CASE WHEN project = 'src7' OR (project = 'src3' AND piece = 0 AND kind = 2)
+        "CAST(kind AS INT) AS ordinal",
+        "CASE kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END AS env_path",
+        """CASE WHEN project = 'src7' OR (project = 'src3' AND kind = 2)
            THEN CAST(NULL AS STRING) ELSE text END AS content""",
     )

@@ -1,7 +1,8 @@
 """Filters and labels over the ``files`` and ``env_files`` tables.
 
 ``files``: project STRING, path STRING, content STRING (NULL = unreadable); optional
-``root STRING`` (the scan root ``path`` starts with) and ``is_symlink BOOLEAN``.
+``root STRING`` (the scan root ``path`` starts with), ``is_symlink BOOLEAN``, and
+``unlistable BOOLEAN`` (not a file but a directory whose files are not known).
 ``env_files``: project STRING, ordinal INT, env_path STRING, content STRING (NULL =
 unreadable).
 
@@ -25,7 +26,14 @@ DOCKER, SOURCE = "docker", "source"
 def _is_candidate(files: DataFrame, extensions: Iterable[str]) -> Column:
     path = F.col("path")
     test = extension(path).isin(*extensions) | is_dockerfile(path)
-    return test & ~F.col("is_symlink") if "is_symlink" in files.columns else test
+    for flag in ("is_symlink", "unlistable"):
+        test = test & ~_flag(files, flag)
+    return test
+
+
+def _flag(files: DataFrame, name: str) -> Column:
+    """An optional column; NULL is false."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in files.columns else F.lit(False)
 
 
 def _is_ignored(files: DataFrame, ignore: str | Iterable[str]) -> Column:
@@ -34,8 +42,46 @@ def _is_ignored(files: DataFrame, ignore: str | Iterable[str]) -> Column:
 
 
 def candidate_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERNS) -> DataFrame:
-    """Files with a known extension (case-sensitive) or a Dockerfile-like name."""
-    return files.where(_is_candidate(files, extensions))
+    """Files with a known extension (case-sensitive) or a Dockerfile-like name.
+
+    Of a snapshot only the partitions that hold such files are read.
+    """
+    wanted = _is_candidate(files, extensions)
+    if {"kind", "lang"} <= set(files.columns):
+        stored = (F.col("kind") == DOCKER) | ((F.col("kind") == SOURCE) & F.col("lang").isin(*extensions))
+        return files.where(stored).where(wanted).drop("kind", "lang")
+    return files.where(wanted)
+
+
+def write_snapshot(
+    files: DataFrame,
+    path: str,
+    ignore: str | Iterable[str] = (),
+    extensions: Iterable[str] = DEFAULT_PATTERNS,
+    mode: str = "error",
+) -> None:
+    """Store ``files`` as Parquet, partitioned by what a scan with these options makes of them.
+
+    ``kind`` is 'docker', 'source' or 'other', ``lang`` the extension of candidates. Ignored
+    files are 'other'; the texts of 'other' files, which no scan opens, are not stored. What
+    is read back can be given to ``scan`` with the same options, or with fewer extensions or
+    more directories to ignore.
+    """
+    scanned = _is_candidate(files, extensions) & ~_is_ignored(files, ignore)
+    labelled = classify_files(files, extensions)
+    (
+        labelled.withColumns(
+            {
+                "content": F.when(scanned, F.col("content")),
+                "kind": F.when(scanned, F.col("kind")).otherwise("other"),
+                "lang": F.when(scanned, F.col("lang")).otherwise(""),
+            }
+        )
+        .drop("multiplicity")
+        .write.mode(mode)
+        .partitionBy("kind", "lang")
+        .parquet(path)
+    )
 
 
 def prune_ignored(files: DataFrame, ignore: str | Iterable[str] = ()) -> DataFrame:
@@ -48,12 +94,13 @@ def counted_files(
     ignore: str | Iterable[str] = (),
     extensions: Iterable[str] = DEFAULT_PATTERNS,
 ) -> DataFrame:
-    """``project, path, multiplicity`` of every file: how often a scan counts it, 0 if never."""
+    """``project, path, multiplicity, unlistable`` of every file: how often a scan counts it."""
     scanned = _is_candidate(files, extensions) & ~_is_ignored(files, ignore)
-    return classify_files(files, extensions).select(
+    return classify_files(files.drop("kind", "lang"), extensions).select(
         "project",
         "path",
         F.when(scanned, F.col("multiplicity")).otherwise(0).alias("multiplicity"),
+        _flag(files, "unlistable").alias("unlistable"),
     )
 
 
@@ -75,18 +122,18 @@ def classify_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERN
 
 
 def oversize_files(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """Files with a line too long to be read; they yield no facts."""
+    """Files with a line of ``max_line_bytes`` or more; audits that set this limit leave them out."""
     return files.where(is_oversize(F.col("content"), max_line_bytes)).select("project", "path")
 
 
-def env_sources(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def env_sources(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """The env files that can be read."""
     return env_files.where(failure(F.col("content"), max_line_bytes).isNull()).select(
         "project", "ordinal", "env_path", "content"
     )
 
 
-def env_status(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def env_status(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Per project: how many env files can be read."""
     readable = failure(F.col("content"), max_line_bytes).isNull()
     return env_files.groupBy("project").agg(
@@ -94,6 +141,6 @@ def env_status(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> Da
     )
 
 
-def readable_projects(env_files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+def readable_projects(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Projects that can be audited at all: at least one env file can be read."""
     return env_sources(env_files, max_line_bytes).select("project").distinct()

@@ -54,14 +54,14 @@ _CTES = {
                      WHEN n % 9 = 8 THEN concat('var_', n, '=1')
                      ELSE concat(CASE WHEN n % 2 = 0 THEN '  ' ELSE '' END, 'VAR_', n, ' =a=b') END AS line
       FROM (SELECT p_partkey, concat('src', CAST(p_partkey % 20 AS VARCHAR)) AS project,
-              p_partkey // 6000000 AS piece, (p_partkey // 20) % 3 AS env_kind, (p_partkey // 60) % 50 AS n FROM part)""",
+              (p_partkey // 20) % 3 AS env_kind, (p_partkey // 60) % 50 AS n FROM part)""",
     "all_env": """
-      SELECT project, (piece * 3 + env_kind)::INT AS ordinal,
-        CASE env_kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END
-          || CASE WHEN piece = 0 THEN '' ELSE '.' || piece END AS env_path,
-        CASE WHEN project = 'src7' OR (project = 'src3' AND piece = 0 AND env_kind = 2) THEN NULL
-             ELSE string_agg(line, chr(10) ORDER BY p_partkey) END AS content
-      FROM part_lines GROUP BY project, piece, env_kind""",
+      SELECT project, env_kind::INT AS ordinal,
+        CASE env_kind WHEN 0 THEN '.env' WHEN 1 THEN '.env.local' ELSE '.env.production' END AS env_path,
+        CASE WHEN project = 'src7' OR (project = 'src3' AND env_kind = 2) THEN NULL
+             ELSE string_agg(line, chr(10) ORDER BY first_part) END AS content
+      FROM (SELECT project, env_kind, line, min(p_partkey) AS first_part FROM part_lines GROUP BY ALL)
+      GROUP BY project, env_kind""",
     "named": r"""
       SELECT *, string_split(path, '/') AS comps, string_split(path, '/')[-1] AS base,
         regexp_extract(string_split(path, '/')[-1], '(\.[^.]*)$', 1) AS ext
@@ -69,7 +69,8 @@ _CTES = {
     "labelled": """
       SELECT *, (base LIKE 'Dockerfile%' OR ext = '.dockerfile') AS docker,
         ext IN ('.js', '.ts', '.go', '.py') AS code,
-        len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 65536)) > 0 AS oversize
+        len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 65536)) > 0 AS too_long,
+        LIMITED AND too_long AS oversize
       FROM named""",
     "kept": """
       SELECT * FROM labelled WHERE (docker OR code)
@@ -140,7 +141,7 @@ _CTES = {
       SELECT * FROM js_uses UNION ALL SELECT * FROM go_uses UNION ALL SELECT * FROM py_uses""",
     "env_read": """
       SELECT * FROM all_env WHERE content IS NOT NULL
-        AND len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 65536)) = 0""",
+        AND NOT (LIMITED AND len(list_filter(string_split(content, chr(10)), lambda x: strlen(x) >= 65536)) > 0)""",
     "env_lines": rf"""
       SELECT project, ordinal, env_path,
         regexp_replace(unnest(string_split(content, chr(10))), {_TRIM}) AS text FROM env_read""",
@@ -263,7 +264,7 @@ _QUERIES = {
       SELECT project, path, 'dockerfile', 'oversize'
       FROM kept SEMI JOIN audited USING (project) WHERE oversize AND docker AND code""",
     "split_lines": "SELECT project, path, line_no::INT AS line_no, text FROM phys",
-    "oversize_files": "SELECT project, path FROM kept WHERE oversize",
+    "oversize_files": "SELECT project, path FROM kept WHERE too_long",
     "logical_lines": "SELECT project, path, line_no, text FROM logical",
     "significant_lines": "SELECT project, path, line_no, text FROM significant",
     "env_declarations": "SELECT project, ordinal, env_path, variable FROM env_decl",
@@ -304,11 +305,14 @@ _QUERIES = {
         '{"summary":' || to_json({'files_scanned': files_scanned, 'variables_declared': variables_declared,
           'variables_used': variables_used, 'mismatches_found': mismatches_found})::VARCHAR || ',"unused":[' AS text
       FROM counted
-      UNION ALL SELECT project, s.section, 0, 0, s.text FROM counted, (VALUES
+      UNION ALL SELECT project, s.section, 0, 0,
+        CASE WHEN s.section = 3 AND n2 > 0 OR s.section = 5 AND n3 > 0 THEN ']}' ELSE '' END || s.text
+      FROM by_rule, (VALUES
         (2, '],"missing":['), (3, '],"declared_sources":{'),
         (4, '},"dockerfile_issues":{"code_uses_not_in_docker":['), (5, '],"docker_declares_unused":['),
         (6, '],"docker_uses_undeclared":['), (7, ']}}')) s(section, text)
-      UNION ALL SELECT project, section, item, 0, CASE WHEN item > 1 THEN ',' ELSE '' END || CASE
+      UNION ALL SELECT project, section, item, 0, CASE WHEN item = 1 THEN ''
+          WHEN section IN (2, 4) THEN ']},' ELSE ',' END || CASE
           WHEN section IN (1, 5) THEN to_json(variable)::VARCHAR
           WHEN section = 3 THEN to_json(variable)::VARCHAR || ':' || to_json(path)::VARCHAR
           WHEN section = 6 THEN to_json({'variable': variable,
@@ -317,10 +321,7 @@ _QUERIES = {
       UNION ALL SELECT project, section, item, pos, CASE WHEN pos > 1 THEN ',' ELSE '' END
           || to_json({'FilePath': p.path, 'LineNumber': p.line_no})::VARCHAR
         FROM (SELECT project, section, item, variable FROM entries WHERE section IN (2, 4))
-        JOIN placed p USING (project, variable)
-      UNION ALL SELECT project, section, item, 1 + (
-          SELECT count(*) FROM code_uses u WHERE u.project = e.project AND u.variable = e.variable), ']}'
-        FROM entries e WHERE section IN (2, 4)""",
+        JOIN placed p USING (project, variable)""",
     "sarif_results": "SELECT * FROM sarif_ordered",
     "sarif_rules": f"""
       SELECT project, rule_id, rule_index, name, description, '{_TOOL_URI}#' || name AS help_uri
@@ -351,7 +352,8 @@ def _mentioned(sql: str) -> list[str]:
     return [name for name in _CTES if name in words]
 
 
-def _with_relations(sql: str) -> str:
+def _with_relations(sql: str, limited: bool = False) -> str:
+    """``sql`` and the relations that it needs; with ``limited``, long lines make a file fail."""
     needed: set[str] = set()
     todo = _mentioned(sql)
     while todo:
@@ -360,8 +362,10 @@ def _with_relations(sql: str) -> str:
             needed.add(name)
             todo += _mentioned(_CTES[name])
     ctes = ",\n".join(f"{name} AS ({_CTES[name]})" for name in _CTES if name in needed)
-    return f"WITH {ctes}\n{sql.strip()}"
+    return f"WITH {ctes}\n{sql.strip()}".replace("LIMITED", str(limited).lower())
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _with_relations(sql) for name, sql in _QUERIES.items()}
+    plain = {name: _with_relations(sql) for name, sql in _QUERIES.items()}
+    limited = {f"{name}_line_limit": _with_relations(_QUERIES[name], True) for name in ("findings", "warnings")}
+    return plain | limited

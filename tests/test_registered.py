@@ -28,7 +28,7 @@ def test_every_query_has_sql():
 
 
 def test_known_counts(spark):
-    result = entry._scan(spark, SF_DIR).pinned()
+    result = entry._scan(spark, SF_DIR, max_line_bytes=65536).pinned()
     assert result.files.where("multiplicity > 0").agg(F.count("*"), F.sum("multiplicity")).first()[:] == (140, 160)
     roles = dict(tuple(r) for r in result.facts.groupBy("role").count().collect())
     assert (roles[X.CODE_USED], roles[X.DOCKER_USED]) == (256, 149)

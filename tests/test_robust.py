@@ -1,0 +1,122 @@
+from __future__ import annotations
+
+import json
+import os
+from collections import defaultdict
+
+import pytest
+from fleet import random_fleet, tables_of
+from helpers import env_files_of, files_of, rows
+
+import brute
+from envtally import scan
+from envtally.operators.pinning import shared_folder
+from envtally.plans import reports
+from envtally.plans import scan as plans
+from envtally.sources.tables import candidate_files, write_snapshot
+
+
+@pytest.fixture
+def absolute(spark):
+    texts = {"/mnt/src/a.js": "process.env.A", "/mnt/src/build/b.js": "process.env.B", "/mnt/Dockerfile": "FROM x\nENV C=1"}
+    return files_of(spark, texts), env_files_of(spark, {"/mnt/.env": "D=1"})
+
+
+@pytest.mark.parametrize("ignore", ["", " , ", [""], ("", " ")])
+def test_an_empty_ignore_entry_ignores_nothing(absolute, ignore):
+    assert rows(scan(*absolute, ignore=ignore).findings) == rows(scan(*absolute).findings)
+    assert scan(*absolute, ignore=ignore).summary.first().files_scanned == 3
+
+
+@pytest.mark.parametrize("ignore", ["build,", ["build", ""], ",build"])
+def test_the_other_entries_still_count(absolute, ignore):
+    assert rows(scan(*absolute, ignore=ignore).findings) == rows(scan(*absolute, ignore="build").findings)
+    assert scan(*absolute, ignore=ignore).summary.first().files_scanned == 2
+
+
+def test_an_unknown_symlink_is_a_file(spark):
+    data = [("p", "a.js", "process.env.A", None), ("p", "b.js", "process.env.B", False), ("p", "c.js", "process.env.C", True)]
+    files = spark.createDataFrame(data, "project string, path string, content string, is_symlink boolean")
+    result = scan(files, env_files_of(spark, {".env": "A=1"}))
+    assert result.summary.first().files_scanned == 2
+    assert rows(result.findings.select("variable").distinct()) == [("B",)]
+
+
+def test_lines_of_any_length_are_read_unless_a_limit_is_set(spark):
+    long = "x" * 70_000 + "; process.env.A"
+    tables = files_of(spark, {"a.js": long}), env_files_of(spark, {".env": "B=1"})
+    assert rows(scan(*tables).findings, "rule_id", "variable") == [("ENV001", "B"), ("ENV002", "A"), ("ENV003", "A")]
+    limited = scan(*tables, max_line_bytes=65536)
+    assert rows(limited.findings, "rule_id", "variable") == [("ENV001", "B")]
+    assert rows(plans.findings(*tables, max_line_bytes=65536)) == rows(limited.findings)
+    assert rows(limited.warnings, "path", "reason") == [("a.js", "oversize")]
+    ruby = files_of(spark, {"a.rb": "ENV['A']"}), tables[1]
+    assert plans.gate(*ruby, patterns={".rb": [r"ENV\['([A-Z_]+)'\]"]}).first().status == 1
+
+
+def test_a_snapshot_prunes_and_changes_nothing(spark, tmp_path):
+    files, env = tables_of(spark, random_fleet(11, 25))
+    path = f"{shared_folder(spark)}/snapshot-{tmp_path.name}"
+    write_snapshot(files, path, "gen")
+    stored = spark.read.parquet(path)
+    plain, pruned = scan(files, env, "gen"), scan(stored, env, "gen")
+    for name in ("findings", "summary", "gate", "warnings"):
+        assert rows(getattr(pruned, name)) == rows(getattr(plain, name)), name
+    plan = candidate_files(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    others = stored.where("kind = 'other'")
+    assert others.count() and not others.where("content IS NOT NULL").count()
+
+
+@pytest.mark.parametrize("format", ["text", "json", "sarif"])
+def test_files_of_a_report_in_name_order_are_the_report(spark, tmp_path, format):
+    names = [f"V{n:04}" for n in range(3000)]
+    text = "\n".join(f"process.env.{n} process.env.{n}" for n in names)
+    fleet = {"p": ([("p/a.js", text)], [(".env", "A=1")])}
+    expected = brute.audit(*fleet["p"], ["gen"], 10**9)
+    folder = f"{shared_folder(spark)}/report-{tmp_path.name}"
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.write_reports(scan(*tables_of(spark, fleet), ignore="gen"), folder, format)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    local = folder.removeprefix("file:") + "/project=p"
+    parts = sorted(n for n in os.listdir(local) if n.startswith("part-"))
+    assert len(parts) > 1
+    lines = []
+    for part in parts:
+        with open(f"{local}/{part}") as file:
+            lines += file.read().splitlines()
+    if format == "text":
+        assert lines == brute.text_report(expected)
+    elif format == "json":
+        assert json.loads("".join(lines)) == brute.json_report(expected)
+    else:
+        run = json.loads("".join(lines))["runs"][0]
+        found = [(r["ruleId"], r["message"]["text"].split(":")[0]) for r in run["results"]]
+        assert found == sorted((f[0], f[1]) for f in expected["findings"])
+
+
+def test_texts_are_read_once_for_three_reports(spark):
+    """Rows that leave the scans of the file table, over a pinned result and its reports."""
+    files, env = tables_of(spark, random_fleet(3, 30))
+    path = f"{shared_folder(spark)}/read-once"
+    files.write.mode("overwrite").parquet(path)
+    seen = defaultdict(int)
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    counted = spark.read.parquet(path).mapInArrow(count, files.schema)
+    result = scan(counted, env, "gen").pinned()
+    seen["pinned"] = counter.value
+    for report in (reports.text_report, reports.json_report, reports.sarif_report):
+        report(result).write.format("noop").mode("overwrite").save()
+    seen["reports"] = counter.value - seen["pinned"]
+    n = files.count()
+    # The file counts read the paths once more; here the paths come through the counter too.
+    assert seen["pinned"] == n and seen["reports"] <= n

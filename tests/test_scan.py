@@ -77,16 +77,14 @@ def test_summary_gate_and_warnings(audited):
 def test_findings_are_the_five_differences(audited):
     _, result, _ = audited
     declared = X.env_declarations_of(result.facts)
-    docker_declared = X.docker_declarations_of(result.facts)
     uses = X.uses_of(result.facts, X.CODE_USED)
     used = R.used_variables(uses)
-    docker_uses = X.uses_of(result.facts, X.DOCKER_USED)
     differences = {
         "ENV001": R.unused(declared, used),
         "ENV002": R.missing(declared, uses),
-        "ENV003": R.code_uses_not_in_docker(declared, docker_declared, uses),
-        "ENV004": R.docker_declares_unused(docker_declared, used),
-        "ENV005": R.docker_uses_undeclared(docker_declared, docker_uses),
+        "ENV003": R.code_uses_not_in_docker(result.facts),
+        "ENV004": R.docker_declares_unused(result.facts),
+        "ENV005": R.docker_uses_undeclared(result.facts),
     }
     for rule, difference in differences.items():
         found = result.findings.where(F.col("rule_id") == rule)

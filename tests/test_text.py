@@ -12,7 +12,7 @@ from envtally.functions.names import (
     may_match,
 )
 from envtally.functions.paths import extension, parse_ignore, to_slash, walk_key
-from envtally.functions.text import WHITE_SPACE, fields, is_oversize, trim_space
+from envtally.functions.text import WHITE_SPACE, is_oversize, trim_space
 from envtally.operators.lines import logical_lines, significant_lines, split_lines
 from envtally.sources.tables import (
     candidate_files,
@@ -53,7 +53,6 @@ def test_trim_takes_all_unicode_white_space_and_nothing_else(spark):
     assert len(set(WHITE_SPACE)) == 25 and all(c.isspace() for c in WHITE_SPACE)
     texts = [WHITE_SPACE + "a b" + WHITE_SPACE, "\u200b\x1fa\ufeff", "\u180ea", "  "]
     assert values(spark, texts, trim_space) == ["a b", "\u200b\x1fa\ufeff", "\u180ea", ""]
-    assert values(spark, ["  a\u2003b\t\x0bc ", ""], fields) == [["a", "b", "c"], []]
 
 
 @pytest.mark.parametrize("limit", [10, 65536])

@@ -32,13 +32,52 @@ def test_load_tree(spark, tree):
     assert rows(files, "project", "path") == [("p", f"{tree}/app/{name}") for name in names]
     sizes = {r.path.rsplit("/", 1)[1]: r.n for r in files.selectExpr("path", "octet_length(content) AS n").collect()}
     assert sizes["m.py"] == 17  # bytes that are no UTF-8 are kept
-    with pytest.raises(Exception, match="No such file"):
-        load_tree(spark, {"p": f"{tree}/none"}).collect()
 
 
-def test_relative_roots(spark, tree, monkeypatch):
-    monkeypatch.chdir(tree)
-    # Python workers keep the directory they were started in, so only names are checked here.
+def test_a_bad_root_beside_a_good_one(spark, tree):
+    roots = [("p", f"{tree}/app"), ("gone", f"{tree}/none"), ("file", f"{tree}/app/.env"), ("relative", "app")]
+    files = load_tree(spark, spark.createDataFrame(roots, "project string, root string"))
+    names = spark.createDataFrame([(p, 0, f"{tree}/app/.env") for p, _ in roots], "project string, ordinal int, env_path string")
+    result = scan(files, load_env_files(spark, names))
+    for scanned in (result, result.pinned()):
+        assert rows(scanned.gate) == [("file", 2), ("gone", 2), ("p", 1), ("relative", 2)]
+        assert {r[0] for r in rows(scanned.findings, "project")} == {"p"}
+        assert rows(scanned.summary, "project") == [("p",)]
+        assert rows(scanned.warnings, "project", "path", "stage", "reason") == [
+            ("file", f"{tree}/app/.env", "walk", "unlistable"), ("gone", f"{tree}/none", "walk", "unlistable"),
+            ("relative", "app", "walk", "unlistable"),
+        ]
+
+
+def test_a_directory_that_cannot_be_listed_fails_its_project_only(spark, tree, monkeypatch):
+    from envtally.sources import tree as module
+
+    original = module._entries
+
+    def entries(directory, ignored):
+        if directory.endswith(b"/deep"):
+            raise PermissionError(directory)
+        yield from original(directory, ignored)
+
+    found = []
+    monkeypatch.setattr(module, "_entries", entries)
+    for list_ in (module._listing([], True), module._listing([], False)):
+        import pandas as pd
+
+        batch = pd.DataFrame([("p", "", f"{tree}/app/sub/deep".encode()), ("q", "", f"{tree}/app/sub".encode())], columns=["project", "root", "path"])
+        found.append(pd.concat(list_(iter([batch]))).set_index("project"))
+    for frame in found:
+        assert frame.loc["p"].unlistable and not frame.loc[["q"]].unlistable.any()
+
+
+def test_a_link_with_a_slash_is_followed(spark, tree):
+    linked = load_tree(spark, {"p": f"{tree}/app/linked/"})
+    assert rows(linked, "root", "path") == [(f"{tree}/app/linked", f"{tree}/app/linked/deep/m.py")]
+
+
+def test_relative_roots(spark, tree):
+    with pytest.raises(ValueError, match="absolute"):
+        load_tree(spark, {"p": "app"})
     assert load_tree(spark, {"p": f"{tree}/./app/../app/sub"}).select("root").first()[0] == f"{tree}/app/sub"
 
 
