@@ -15,6 +15,7 @@ from envtally.llm import byte_bpe, co_training, mixing, quality_rules, simhash
 from envtally.llm.storage import checkpoint_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RESULTS = ("ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of each document but its text, its token ids, and their digests."""
-    keys = [c for c in docs.columns if c != "text"]
+    """The columns of each document but its text, its token ids, and their digests.
+
+    A column that has the name of one of these is left out.
+    """
+    keys = [c for c in docs.columns if c.lower() not in ("text", *RESULTS)]
     encoded = byte_bpe.encode(docs, keys, RANKS, public_tokenizers.PATTERN)
     return byte_bpe.digests(encoded, [*keys, "ids"])
 

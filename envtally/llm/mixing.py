@@ -24,8 +24,6 @@ TOLERANCE = 0.25
 MAX_ROUNDS = 100
 #: Rounds that move what rounding has left over.
 SETTLING_ROUNDS = 6
-#: Documents of one source and size that are ranked together.
-CELL = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -261,43 +259,35 @@ def _mixed(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         sources.select(F.col("source").alias("_s"), "target"), F.col("source").eqNullSafe(F.col("_s"))
     )
     copies = settled(balanced.select("source", "size", "n", "copies", "target"))
-    share = written(
-        _renamed(cells, "n")
-        .join(
-            _renamed(copies, "copies").withColumnsRenamed({"_s": "_s2", "_z": "_z2"}),
-            F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_z") == F.col("_z2")),
-            "left",
-        )
-        .join(
-            sources.select(F.col("source").alias("_t"), F.col("size").alias("source_size"), "target"),
-            F.col("_s").eqNullSafe(F.col("_t")),
-        )
-        .drop("_s2", "_z2", "_t")
+    share = _keyed(cells).drop("source").join(
+        _keyed(copies).select("_key", "size", "copies"), ["_key", "size"], "left"
     )
-    # Ranks within a source and size come from parts of bounded size, cut by the hash.
-    cell = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    hashed = F.xxhash64(*keys)
-    even = F.pmod(hashed, F.lit(1 << 32)) / F.lit(float(1 << 32))
-    joined = rows.join(share, cell).drop("_s", "_z").withColumns(
-        {"_hash": hashed, "_part": F.floor(even * F.ceil(F.col("n") / CELL)).cast("long")}
+    share = share.join(
+        _keyed(sources).select("_key", F.col("size").alias("source_size"), "target"), "_key"
     )
-    counts = joined.groupBy("source", "size", "_part").agg(F.count(F.lit(1)).alias("_count"))
-    earlier = Window.partitionBy("source", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = _renamed(counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0))), "_part", "_before")
-    offsets = offsets.withColumnRenamed("_part", "_p")
-    # The parts are in no order of the hash; any fixed order of the documents will do.
-    inside = Window.partitionBy("source", "size", "_part").orderBy("_hash", *keys)
+    # A cell may hold a third of all documents: its parts go to different tasks.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = _keyed(rows).withColumn("_hash", F.xxhash64(*keys))
+    hashed = hashed.withColumn("_part", F.pmod("_hash", F.lit(parts)))
+    cell = ["_key", "size", "_part"]
+    earlier = Window.partitionBy("_key", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_count"))
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    known = written(offsets.drop("_count").join(share, ["_key", "size"]))
+    # Any fixed order of a cell's documents will do; in this one, the first have the odd copies.
+    inside = Window.partitionBy(*cell).orderBy("_hash", *keys)
     each = F.floor(F.col("copies") / F.col("n"))
     odd = F.col("copies") - each * F.col("n")
-    copies = each + (F.col("_rank") + F.col("_before") <= odd).cast("long")
+    number = each + (F.col("_rank") + F.col("_before") <= odd).cast("long")
     return (
-        joined.withColumn("_rank", F.row_number().over(inside))
-        .join(offsets, cell & (F.col("_part") == F.col("_p")))
-        .withColumn("copies", F.coalesce(copies, F.lit(1)).cast("long"))
+        hashed.join(known, cell)
+        .withColumn("_rank", F.row_number().over(inside))
+        .withColumn("copies", F.coalesce(number, F.lit(1)).cast("long"))
         .select(*keys, "source", "size", "source_size", "target", "copies",
                 (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def _renamed(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(F.col("source").alias("_s"), F.col("size").alias("_z"), *columns)
+def _keyed(df: DataFrame) -> DataFrame:
+    """With the source as a key that is not null."""
+    return df.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))

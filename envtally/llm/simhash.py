@@ -229,16 +229,12 @@ def _join(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, fp, component`` for each row of ``docs``; component is a fingerprint.
-
-    Rows of equal fingerprint are one node of the graph, so copies are never paired.
-    """
-    rows = written(fingerprints(docs))
+def _classes(rows: DataFrame) -> DataFrame:
+    """``fp, component`` of each distinct fp of ``rows``; component is its smallest fingerprint."""
     nodes = rows.select("fp").distinct()
     members = connected_components(links(nodes)).withColumnRenamed("node", "fp")
-    return rows.join(members, "fp", "left").select(
-        "doc_id", "text_hash", "fp", F.coalesce("component", "fp").alias("component")
+    return nodes.join(members, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component")
     )
 
 
@@ -250,13 +246,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprint 0. A null doc_id counts only where a component has no other; component_id
     is null there. Repeated rows come out as often as they came in; other columns are not
     looked at. An empty table gives an empty result.
+
+    Rows of equal fingerprint are one node of the graph: copies are never paired, and what
+    is looked up for them has one row per fingerprint.
     """
-    rows = written(clustered(docs))
-    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "component").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
+    rows = written(fingerprints(docs))
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = written(_classes(rows).join(least, "fp"))
+    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = classes.join(ids, "component").select("fp", "component_id")
+    return rows.join(written(known), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -266,8 +266,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that share this doc_id but not their text count by the hash of the text; of equal
     rows one stays. The columns are those of ``docs``.
     """
+    rows = written(fingerprints(docs))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = clustered(docs).groupBy("component").agg(F.min(order).alias("first"))
+    least = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    first = _classes(rows).join(least, "fp").groupBy("component").agg(F.min("least").alias("first"))
     first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     name = "_hash_of_text" + "_" * max(map(len, docs.columns))
     hashed = docs.withColumn(name, F.xxhash64("text"))

@@ -86,8 +86,7 @@ def test_rates_are_exponential_in_the_size(spark):
         assert max(logs) - min(logs) < 1e-6 * (1e-9 + abs(max(logs, key=abs)))
 
 
-def test_ranks_come_from_parts(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "CELL", 7)
+def test_one_size_in_two_sources(spark):
     rows = [(n, "a b c", "en", "x" if n % 3 else "y", 0) for n in range(300)]
     check(rows, mixing.mix(spark.createDataFrame(rows, DOCS)).collect(), lambda *_: 3)
 
