@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from envtally.llm.storage import written
+from envtally.llm.storage import computed_once, written
 
 MOST_LABELLED = 20_000
 MOST_POOL = 20_000
@@ -85,10 +85,8 @@ def metadata_buckets() -> list[Column]:
 
 
 def _features(docs: DataFrame, name: str) -> DataFrame:
-    return docs.withColumn(
-        name,
-        F.struct(content_features(F.col("text"))[0].alias("content"), *metadata_buckets()),
-    )
+    value = F.struct(content_features(F.col("text"))[0].alias("content"), *metadata_buckets())
+    return computed_once(docs, name, value, docs.columns)
 
 
 @dataclass

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envtally.llm.storage import written
+from envtally.llm.storage import computed_once, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -221,7 +221,8 @@ def judged(docs: DataFrame, name: str = "rules") -> DataFrame:
     histogram = _let(
         hits, lambda h: F.transform(common, lambda c: F.size(h) - F.size(F.array_remove(h, c)))
     )
-    measured = joined.withColumn(
+    measured = computed_once(
+        joined,
         name,
         F.struct(
             F.size(words).cast("long").alias("n_words"),
@@ -231,6 +232,7 @@ def judged(docs: DataFrame, name: str = "rules") -> DataFrame:
             *_classes(text, words),
             histogram.alias("hits"),
         ),
+        [*docs.columns, ref],
     )
     of = lambda c: F.col(f"{name}.{c}")
     n_words = of("n_words")

@@ -1,10 +1,11 @@
-"""Results that several jobs read: written once to the folder that all executors share."""
+"""Results that are computed once: checkpoints in the shared folder, and columns."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,3 +29,13 @@ def written(df: DataFrame) -> DataFrame:
     """
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def computed_once(df: DataFrame, name: str, value: Column, columns: list[str]) -> DataFrame:
+    """``columns`` of ``df``, and ``value`` as the column ``name``.
+
+    A filter on a column of a projection would be moved below it, and compute anew, for each
+    mention, all that the column is made of. It is not moved below an explode.
+    """
+    work = f"_{name}_value"
+    return df.withColumn(work, value).select(*columns, F.explode(F.array(work)).alias(name))
