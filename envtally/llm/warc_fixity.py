@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from envtally.llm.storage import written
 from envtally.operators.ordering import with_position
@@ -180,7 +179,3 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"),
         record(F.col("page_id"), F.col("url"), F.col("html")).alias("text"),
     )
-
-
-def empty_leaves(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(f"{LEAF}, replica int"))
