@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from envtally.llm import byte_bpe, co_training, mixing, quality_rules, simhash
@@ -24,8 +25,20 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps; it learns from the labels of those here."""
-    return co_training.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the co-trained classifier keeps.
+
+    It learns from all labelled documents of ``sf_dir``, also those that earlier stages took
+    out: what is left has hardly a label of low quality. A folder with labels and no
+    documents, which run() cannot read, has only ``docs`` to learn from.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    try:
+        learned = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        learned = docs
+    return co_training.keep(docs, labels, learned)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

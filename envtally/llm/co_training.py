@@ -206,8 +206,9 @@ def _matrices(rows) -> list[np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[Linear], Linear] | float:
     """What ``co_train`` learns from ``docs`` and ``labels (doc_id, quality 0/1)``.
 
-    Labels that are null, of no document or contradict each other do not count. With labels
-    of one class only, or none, the result is a constant probability.
+    Labels that are null, of no document or contradict each other do not count. With fewer
+    than FOLDS labels of a class the result is a constant probability, the share of good ones;
+    it tells no document from another, so it is THRESHOLD at least, which keeps all.
     """
     order = lambda salt: F.xxhash64("doc_id", F.lit(salt))
     agreed = (
@@ -235,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[Linear], Linear] | f
     labelled = [r for r in rows if r["label"] is not None]
     y = np.array([r["label"] for r in labelled], float)
     if len(set(y.tolist())) < 2 or min((y == 0).sum(), (y == 1).sum()) < FOLDS:
-        return float((y.sum() + 1) / (len(y) + 2))
+        return max(float((y.sum() + 1) / (len(y) + 2)), THRESHOLD)
     return co_train(_matrices(labelled), y, _matrices([r for r in rows if r["label"] is None]))
 
 
@@ -264,16 +265,19 @@ def _probability(model: tuple[list[Linear], Linear] | float, name: str) -> list[
     ]
 
 
-def scored(docs: DataFrame, labels: DataFrame, name: str = "quality") -> DataFrame:
+def scored(
+    docs: DataFrame, labels: DataFrame, name: str = "quality", learned: DataFrame | None = None
+) -> DataFrame:
     """``docs`` with a struct ``name``: score, content_score, metadata_score, kept.
 
     ``docs`` has doc_id, text, lang, source, n_chars, any of them null; a null text is an
     empty one, and null metadata is a value. Rows stay as they are, with their other
     columns, of which none may be called ``name``. score is the probability of good
-    quality; kept is whether it reaches THRESHOLD. Without labels of both classes all
-    documents have the same score, and without any label all are kept.
+    quality; kept is whether it reaches THRESHOLD. With fewer than FOLDS labels of a class all
+    documents have the same score, and all are kept. The model learns from ``learned``, which
+    has the same columns, or else from ``docs``.
     """
-    model = learn(docs, labels)
+    model = learn(docs if learned is None else learned, labels)
     work = f"_{name}_features"
     rows = _features(docs, work)
     return rows.withColumn(name, F.struct(*_probability(model, work))).withColumn(
@@ -287,7 +291,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "quality.*")
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with its columns."""
+def keep(docs: DataFrame, labels: DataFrame, learned: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with its columns; it learns as in ``scored``."""
     name = "_quality" + "_" * max(map(len, docs.columns))
-    return scored(docs, labels, name).where(F.col(f"{name}.kept")).select(*docs.columns)
+    return scored(docs, labels, name, learned).where(F.col(f"{name}.kept")).select(*docs.columns)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 from collections import Counter, defaultdict
 
 import duckdb
@@ -9,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from samples import edge_docs, edge_rows
+from samples import DOCS, edge_docs, edge_rows, prose
 from test_mixing import brute_targets, size
 from test_simhash import brute
 
@@ -108,3 +109,26 @@ def test_run_is_the_stages_in_order(spark, monkeypatch):
     edge_docs(spark).write.parquet(f"{folder}/documents.parquet")
     got = corpus_pipeline.run(spark, folder)
     assert calls == ["a", "b"] and got.count() == sum(1 for r in edge_rows() if r[0] is not None and r[0] % 2 == 0)
+
+
+def test_the_classifier_learns_from_documents_that_the_rules_took_out(spark):
+    """All labelled bad documents fail the rules; an unlabelled one of their kind passes them."""
+    rng = random.Random(8)
+    clean = [(n, prose(rng, 150), "en", rng.choice("ab"), 900) for n in range(200)]
+    bad = [(n, prose(rng, 20).upper() + "!! " * 8, "en", "bad", 120) for n in range(200, 260)]
+    passes = (300, " ".join(w + "!" if n % 9 == 0 else w for n, w in enumerate(prose(rng, 150).split())), "en", "bad", 120)
+    folder = f"{checkpoint_folder(spark)}/classifier-test"
+    docs = spark.createDataFrame(clean + bad + [passes], DOCS)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(r[0], 1, 0) for r in clean[:100]] + [(r[0], 0, 0) for r in bad]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    after_rules = corpus_pipeline.rules(spark, docs, folder)
+    assert {r.doc_id for r in after_rules.collect()} == {r[0] for r in clean} | {300}
+    kept = {r.doc_id for r in corpus_pipeline.classifier(spark, after_rules, folder).collect()}
+    assert kept == {r[0] for r in clean}
+
+
+def test_few_labels_mostly_bad_keep_every_document(spark):
+    docs = spark.createDataFrame([(n, "the of and " * 20, "en", "a", 220) for n in range(20)], DOCS)
+    labels = spark.createDataFrame([(0, 1, 0)] + [(n, 0, 0) for n in range(1, 9)], "doc_id long, quality int, toxic int")
+    assert C.keep(docs, labels).count() == 20
