@@ -1,15 +1,20 @@
 """Nearest neighbours by largest inner product, with a forest of hash prefixes.
 
 Each tree gives a vector a string of 64 bits, one for each of its random hyperplanes; the
-tree is the sorted array of the strings. Vectors are scaled into the unit ball and lifted
-onto the sphere by one more component, so that the angle to a query orders them by inner
-product. A query descends each tree to its longest prefix. Then it ascends in all trees at
-once: the level, that is the length of prefix that it has in common with a candidate in
-some tree, falls until enough candidates have been counted over all trees.
-
-The arrays are cut into cells at quantiles of a bounded sample. A query looks into its own
-cell, and into the next one where it lies near a cut. Counting moves hashes only; then the
-vectors of each cell are scored against the queries that ascend into it.
+tree is the sorted array of the strings. The vectors are cut into bands of nearly one norm,
+each with a forest of its own. There they are scaled into the unit ball by the largest norm
+of the band and lifted onto the sphere by one more component, so that the angle to a query
+orders them by inner product.
+
+A query first looks into its own cells of some trees of every band. The 20th best score so
+far bounds the angle of what is still to be found. From the angle follow the level, that is
+the length of prefix, and the number of trees in which a vector at that angle shares the
+prefix with probability FOUND at least, whatever the number of vectors. The query then
+ascends to that level, in all cells that its prefix covers. A band whose norms are too small
+for the score is left out.
+
+The arrays are cut into cells at quantiles of a bounded sample. The vectors of each cell are
+scored against blocks of the queries that look into it.
 """
 
 from __future__ import annotations
@@ -26,8 +31,20 @@ from envtally.llm.storage import written
 TREES = 24
 BITS = 64
 NEIGHBOURS = 20
-#: Candidates to count over all trees before the ascent stops, per root of the vectors.
+#: Candidates over all trees in the first look at a band, per root of its vectors.
 BUDGET = 180
+#: Least probability that the ascent meets a vector as near as the last neighbour so far.
+FOUND = 0.95
+#: Least trees of an ascent that does not go to the root: fewer hang on single hyperplanes.
+LEAST_TREES = 4
+#: Bands of norms per doubling.
+BANDS = 2
+#: Least queries of a block, and queries per root of the vectors of a band.
+BLOCK = 64
+BLOCK_PER_ROOT = 2
+#: Scores held at once in a cell, and rows handed on at once.
+_SCORES = 1 << 21
+_ROWS = 1 << 13
 #: Least vectors of a cell, and vectors per root of all; MOST_CELLS bounds the cut points.
 CELL = 4096
 CELL_PER_ROOT = 16
@@ -46,10 +63,16 @@ def hyperplanes(dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).standard_normal((dim + 1, TREES * BITS))
 
 
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    """Of rows that are not zero; squares neither overflow nor vanish."""
+    largest = np.abs(vectors).max(axis=1)
+    return largest * np.linalg.norm(vectors / largest[:, None], axis=1)
+
+
 def hashes(vectors: np.ndarray, norm: float, query: bool, planes: np.ndarray) -> np.ndarray:
-    """A row per vector and a column per tree. ``norm`` is the largest of all vectors."""
+    """A row per vector and a column per tree. ``norm`` is the largest of the band."""
     if query:
-        scaled = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        scaled = vectors / _norms(vectors)[:, None]
         lift = np.zeros(len(vectors))
     else:
         scaled = vectors / norm
@@ -119,26 +142,29 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 def _with_norm(points: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            norms = [float(np.linalg.norm(np.frombuffer(v, np.float64))) for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(norms, pa.float64())], [*batch.schema.names, "norm"])
+            norms = np.array([_norms(np.frombuffer(v, np.float64)[None])[0] for v in batch.column(2).to_pylist()])
+            # Rounded, so that vectors scaled to norm 1 are in one band.
+            bands = np.rint(BANDS * np.log2(np.minimum(norms, np.finfo(float).max))).astype(np.int32)
+            columns = [*batch.columns, pa.array(norms, pa.float64()), pa.array(bands)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "norm", "band"])
 
-    return points.mapInArrow(run, "rep long, ids array<long>, vec binary, dim int, norm double")
+    return points.mapInArrow(run, "rep long, ids array<long>, vec binary, dim int, norm double, band int")
 
 
-def _cuts(points: DataFrame, sizes: list) -> dict[int, tuple]:
-    """dim -> largest norm, number of vectors, and for each tree the cuts between pieces.
+def _cuts(points: DataFrame, sizes: list) -> dict[tuple[int, int], tuple]:
+    """(dim, band) -> largest norm, number of vectors, for each tree the cuts between pieces.
 
     Cuts are (hash, rep): vectors of equal hashes can lie in different pieces. The sample is
-    at most about SAMPLED * PIECES * MOST_CELLS vectors of each dimension.
+    at most about SAMPLED * PIECES * MOST_CELLS vectors of each band.
     """
     out = {}
-    for dim, n, norm in sizes:
+    for dim, band, n, norm in sizes:
         cells = min(MOST_CELLS, max(1, int(n // max(CELL, CELL_PER_ROOT * n**0.5))))
         cuts = None
         if cells > 1:
             rate = min(1.0, SAMPLED * PIECES * cells / n)
             drawn = F.pmod(F.xxhash64("rep", F.lit("cells")), F.lit(1 << 30)) < int(rate * (1 << 30))
-            sample = points.where((F.col("dim") == dim) & drawn).select("rep", "vec").orderBy("rep").collect()
+            sample = points.where((F.col("dim") == dim) & (F.col("band") == band) & drawn).select("rep", "vec").orderBy("rep").collect()
             vectors = np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float64).reshape(-1, dim)
             found = hashes(vectors, norm, False, hyperplanes(dim))
             reps = np.array([r["rep"] for r in sample])
@@ -147,7 +173,7 @@ def _cuts(points: DataFrame, sizes: list) -> dict[int, tuple]:
             for tree in range(TREES):
                 order = np.lexsort((reps, found[:, tree]))
                 cuts.append((found[order[at], tree], reps[order[at]]))
-        out[dim] = (norm, n, cuts)
+        out[dim, band] = (norm, n, cuts)
     return out
 
 
@@ -162,127 +188,225 @@ def _pieces(found: np.ndarray, reps: np.ndarray, cut: tuple | None) -> np.ndarra
     return low
 
 
-_PLACED = {
-    "dim": "int", "tree": "int", "cell": "long", "hash": "long", "rep": "long", "query": "boolean",
-    "level": "int", "ids": "array<long>", "vec": "binary",
-}
+def _ranges(found: np.ndarray, asked: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes, the ranges that share the first ``level`` bits with those asked for."""
+    rest = np.broadcast_to(np.asarray(BITS - level, np.uint64), asked.shape)
+    mask = np.where(rest >= BITS, ~np.uint64(0), (np.uint64(1) << np.minimum(rest, np.uint64(BITS - 1))) - np.uint64(1))
+    return np.searchsorted(found, asked & ~mask, "left"), np.searchsorted(found, asked | mask, "right")
 
 
-def _placed(points: DataFrame, index: dict[int, tuple], vectors: bool) -> DataFrame:
-    """A row for each point, tree and cell it is in, and for each query and cell it looks into.
+def ascent(cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trees and level at which a vector of that cosine or more is met with FOUND at least.
 
-    ``points`` has a level for queries, and null for others. Without ``vectors`` the columns
-    end at the level.
+    Of all such pairs it is that with the least trees * 2 ** -level; level 0 of one tree
+    meets every vector.
+    """
+    sharing = 1.0 - np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
+    trees, levels = np.ones(len(cosine), np.int64), np.zeros(len(cosine), np.int64)
+    cost = np.ones(len(cosine))
+    with np.errstate(divide="ignore"):
+        logs = np.log(sharing)
+    for n in range(LEAST_TREES, TREES + 1):
+        least = np.log(1.0 - (1.0 - FOUND) ** (1.0 / n))
+        level = np.where(logs < 0, np.floor(least / np.minimum(logs, -1e-300)), BITS)
+        level = np.minimum(level, BITS).astype(np.int64)
+        better = n * 0.5**level < cost
+        trees[better], levels[better], cost[better] = n, level[better], (n * 0.5**level)[better]
+    return trees, levels
+
+
+def _looks(index: dict, dim: int, values: np.ndarray, reps: np.ndarray, least, planes) -> Iterator[tuple]:
+    """``band, tree, at, cells, level, hash`` of what queries look into; at are their rows.
+
+    Without ``least`` it is the first look. Else that is the score of the last neighbour so
+    far, and what the first look saw whole is left out.
     """
+    found = hashes(values, 1.0, True, planes)
+    norms = _norms(values)
+    for (own, band), (norm, n, cuts) in index.items():
+        if own != dim:
+            continue
+        if least is None:
+            cells = len(cuts[0][0]) // PIECES + 1 if cuts else 1
+            trees = np.full(len(reps), min(TREES, int(np.ceil(BUDGET * n**0.5 * cells / n))) if cuts else 1)
+            levels = np.zeros(len(reps), np.int64)
+        elif not cuts:
+            continue
+        else:
+            cosine = least / (norms * norm)
+            trees, levels = ascent(cosine)
+            trees[cosine > 1 + 1e-9] = 0
+        for tree in range(trees.max(initial=0)):
+            at = np.flatnonzero(trees > tree)
+            hash_, level = found[at, tree], levels[at]
+            if not cuts:
+                yield band, tree, at, np.zeros(len(at), np.int64), level, hash_
+                continue
+            if least is None:
+                piece = _pieces(hash_, reps[at], cuts[tree])
+                first = np.maximum(piece - 1, 0) // PIECES
+                last = np.minimum(piece + 1, len(cuts[tree][0])) // PIECES
+            else:
+                rest = np.minimum(BITS - level, BITS - 1).astype(np.uint64)
+                mask = np.where(level == 0, ~np.uint64(0), (np.uint64(1) << rest) - np.uint64(1))
+                # Vectors of equal hashes can lie on both sides of a cut.
+                first = np.searchsorted(cuts[tree][0], hash_ & ~mask, "left") // PIECES
+                last = np.searchsorted(cuts[tree][0], hash_ | mask, "right") // PIECES
+            for start in range(0, len(at), 256):
+                cut = slice(start, start + 256)
+                counts = last[cut] - first[cut] + 1
+                rows = np.repeat(np.arange(start, start + len(counts)), counts)
+                cells = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts) + first[rows]
+                yield band, tree, at[rows], cells, level[rows], hash_[rows]
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """The rows of each dimension, column 3."""
+    for batch in batches:
+        dims = batch.column(3).to_numpy()
+        for dim in np.unique(dims).tolist():
+            yield batch.filter(pa.array(dims == dim)), dim
+
+
+def _blocks(points: DataFrame, index: dict, first: bool) -> dict[tuple, np.ndarray]:
+    """(dim, band, tree) -> for each cell the number of blocks of queries that look into it."""
     shared = points.sparkSession.sparkContext.broadcast(index)
-    names = [n for n in _PLACED if vectors or n not in ("ids", "vec")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {}
-        for batch in batches:
-            dims = batch.column(3).to_numpy()
-            for dim in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == dim))
-                norm, _, cuts = shared.value[dim]
-                if dim not in planes:
-                    planes[dim] = hyperplanes(dim)
-                values, reps = _vectors(part.column(2), dim), part.column(0).to_numpy()
-                asks = np.flatnonzero(part.column(4).is_valid().to_numpy(zero_copy_only=False))
-                for query, rows in ((False, np.arange(len(reps))), (True, asks)):
-                    if not len(rows):
-                        continue
-                    found = hashes(values[rows], norm, query, planes[dim])
-                    for tree in range(TREES):
-                        cut = cuts[tree] if cuts else None
-                        piece = _pieces(found[:, tree], reps[rows], cut)
-                        at, cells = np.arange(len(rows)), piece // PIECES
-                        if query and cuts:
-                            inner, last = piece % PIECES, len(cut[0]) // PIECES
-                            before = np.flatnonzero((inner == 0) & (cells > 0))
-                            after = np.flatnonzero((inner == PIECES - 1) & (cells < last))
-                            at = np.concatenate([at, before, after])
-                            cells = np.concatenate([cells, cells[before] - 1, cells[after] + 1])
-                        own = part.take(pa.array(rows[at]))
-                        # Signed, in the same order.
-                        signed = (found[at, tree] ^ np.uint64(1 << 63)).view(np.int64)
-                        columns = {
-                            "dim": pa.array(np.full(len(at), dim, np.int32)),
-                            "tree": pa.array(np.full(len(at), tree, np.int32)),
-                            "cell": pa.array(cells.astype(np.int64)),
-                            "hash": pa.array(signed),
-                            "rep": own.column(0),
-                            "query": pa.array(np.full(len(at), query)),
-                            "level": own.column(4) if query else pa.nulls(len(at), pa.int32()),
-                            "ids": own.column(1),
-                            "vec": own.column(2),
-                        }
-                        yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    schema = ", ".join(f"{n} {_PLACED[n]}" for n in names)
-    return points.select("rep", "ids", "vec", "dim", "level").mapInArrow(run, schema)
+        planes, counts = {}, {}
+        for part, dim in _parts(batches):
+            if dim not in planes:
+                planes[dim] = hyperplanes(dim)
+            least = None if first else part.column(5).to_numpy()
+            for band, tree, _, cells, _, _ in _looks(
+                shared.value, dim, _vectors(part.column(2), dim), part.column(0).to_numpy(), least, planes[dim]
+            ):
+                for cell, n in zip(*(x.tolist() for x in np.unique(cells, return_counts=True))):
+                    key = (dim, band, tree, cell)
+                    counts[key] = counts.get(key, 0) + n
+        if counts:
+            columns = [pa.array(c, pa.int32()) for c in zip(*counts)]
+            names = ["dim", "band", "tree", "cell", "n"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names)
+
+    keys = ("dim", "band", "tree", "cell")
+    asks = points.where(F.col("ask").isNotNull()).select("rep", "ids", "vec", "dim", "band", "ask")
+    counted = asks.mapInArrow(run, "dim int, band int, tree int, cell int, n long").groupBy(*keys).agg(F.sum("n"))
+    out: dict[tuple, np.ndarray] = {}
+    for dim, band, tree, cell, n in counted.collect():
+        _, size, cuts = index[dim, band]
+        blocks = out.setdefault((dim, band, tree), np.zeros(len(cuts[0][0]) // PIECES + 1 if cuts else 1, np.int64))
+        blocks[cell] = -(-n // max(BLOCK, int(BLOCK_PER_ROOT * size**0.5)))
+    return out
 
 
-def _ranges(found: np.ndarray, asked: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted hashes, the ranges that share the first ``level`` bits with those asked for."""
-    rest = np.broadcast_to(np.asarray(BITS - level, np.uint64), asked.shape)
-    mask = np.where(rest >= BITS, ~np.uint64(0), (np.uint64(1) << np.minimum(rest, np.uint64(BITS - 1))) - np.uint64(1))
-    return np.searchsorted(found, asked & ~mask, "left"), np.searchsorted(found, asked | mask, "right")
+_PLACED = {
+    "dim": "int", "band": "int", "tree": "int", "cell": "long", "block": "long", "hash": "long", "rep": "long",
+    "query": "boolean", "level": "long", "ids": "array<long>", "vec": "binary",
+}
 
 
-def _unsigned(column) -> np.ndarray:
-    return column.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
+    """A row for each point and block of a cell it is in, for each query and cell it looks into.
 
+    ``points`` has a column ask that is null for all but queries. Cells that no query looks
+    into are left out.
+    """
+    shared = points.sparkSession.sparkContext.broadcast((index, _blocks(points, index, first)))
 
-def _count(table: pa.Table) -> pa.Table:
-    """For each query in a cell, how many of its points share each length of prefix."""
-    table = table.combine_chunks()
-    query = table.column("query").to_numpy()
-    hash_, reps = _unsigned(table.column("hash")), table.column("rep").to_numpy()
-    found = np.sort(hash_[~query])
-    asked = hash_[query]
-    counts = np.empty((len(asked), BITS + 1), np.int64)
-    for level in range(BITS + 1):
-        low, high = _ranges(found, asked, level)
-        counts[:, level] = high - low
-    flat = pa.ListArray.from_arrays(
-        pa.array(np.arange(len(asked) + 1, dtype=np.int32) * (BITS + 1)), pa.array(counts.ravel())
-    )
-    dims = table.column("dim").filter(pa.array(query))
-    return pa.table({"rep": pa.array(reps[query]), "dim": dims, "counts": flat})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = {}
+        index, blocks = shared.value
+        for part, dim in _parts(batches):
+            if dim not in planes:
+                planes[dim] = hyperplanes(dim)
+            values, reps = _vectors(part.column(2), dim), part.column(0).to_numpy()
+
+            def out(band, tree, at, cells, block, found, query, level):
+                for start in range(0, len(at), _ROWS):
+                    cut = slice(start, start + _ROWS)
+                    own = part.take(pa.array(at[cut]))
+                    n = len(own)
+                    # Signed, in the same order.
+                    signed = (found[cut] ^ np.uint64(1 << 63)).view(np.int64)
+                    columns = [
+                        *(np.full(n, x, np.int32) for x in (dim, band, tree)), cells[cut].astype(np.int64),
+                        block[cut].astype(np.int64), signed, own.column(0), np.full(n, query),
+                        level[cut].astype(np.int64), own.column(1), own.column(2),
+                    ]
+                    columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+                    yield pa.RecordBatch.from_arrays(columns, list(_PLACED))
+
+            bands = part.column(4).to_numpy()
+            for band in np.unique(bands).tolist():
+                norm, _, cuts = index[dim, band]
+                rows = np.flatnonzero(bands == band)
+                trees = [t for t in range(TREES) if (dim, band, t) in blocks]
+                found = hashes(values[rows], norm, False, planes[dim]) if trees else None
+                for tree in trees:
+                    cells = _pieces(found[:, tree], reps[rows], cuts[tree] if cuts else None) // PIECES
+                    copies = blocks[dim, band, tree][cells]
+                    at = np.repeat(np.arange(len(rows)), copies)
+                    block = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    yield from out(band, tree, rows[at], cells[at], block, found[at, tree], False, np.zeros(len(at)))
+            asks = np.flatnonzero(part.column(5).is_valid().to_numpy(zero_copy_only=False))
+            if not len(asks):
+                continue
+            least = None if first else part.column(5).take(pa.array(asks)).to_numpy()
+            # Dealt to blocks by a mix of the bits of rep.
+            mixed = (reps[asks].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for band, tree, at, cells, level, found in _looks(index, dim, values[asks], reps[asks], least, planes[dim]):
+                block = mixed[at].astype(np.int64) % blocks[dim, band, tree][cells]
+                yield from out(band, tree, asks[at], cells, block, found, True, level)
+
+    schema = ", ".join(f"{n} {kind}" for n, kind in _PLACED.items())
+    return points.select("rep", "ids", "vec", "dim", "band", "ask").mapInArrow(run, schema)
+
+
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
 
 
 def _score(table: pa.Table) -> pa.Table:
-    """For each query in a cell, the best vec_ids of the points that share its level."""
+    """For each query in a block, the best vec_ids of the points that share its level."""
     table = table.combine_chunks()
     dim = table.column("dim")[0].as_py()
     query = table.column("query").to_numpy()
     hash_, reps = _unsigned(table.column("hash")), table.column("rep").to_numpy()
     vectors = _vectors(table.column("vec").combine_chunks(), dim)
-    level = table.column("level").to_numpy()[query]
-    items = np.flatnonzero(~query)
+    items, asked = np.flatnonzero(~query), np.flatnonzero(query)
     items = items[np.argsort(hash_[items], kind="stable")]
     points, own_reps = vectors[items], reps[items]
     ids = table.column("ids").take(pa.array(items)).to_pylist()
-    asked = np.flatnonzero(query)
-    low, high = _ranges(hash_[items], hash_[asked], level.astype(np.int64))
+    low, high = _ranges(hash_[items], hash_[asked], table.column("level").to_numpy()[asked])
+    most = NEIGHBOURS + 1
     out_query, out_id, out_score = [], [], []
-    for row, a, b in zip(asked.tolist(), low.tolist(), high.tolist()):
-        if a == b:
-            continue
-        rough = points[a:b] @ vectors[row]
-        most = NEIGHBOURS + 1
-        if len(rough) > most:
-            least = np.partition(rough, len(rough) - most)[len(rough) - most]
-            near = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
-        else:
-            near = np.arange(len(rough))
-        # One order of addition for each pair, wherever it is scored.
-        exact = (points[a:b][near] * vectors[row]).sum(axis=1)
-        order = np.lexsort((own_reps[a:b][near], -exact))[:most]
-        pairs = sorted((-float(exact[i]), v) for i in order for v in ids[a + near[i]])[:most]
-        out_query += [int(reps[row])] * len(pairs)
-        out_score += [-s for s, _ in pairs]
-        out_id += [v for _, v in pairs]
+    # Queries of one range are scored together.
+    order = np.lexsort((high, low))
+    order = order[low[order] < high[order]]
+    starts = np.flatnonzero((np.diff(low[order], prepend=-1) != 0) | (np.diff(high[order], prepend=-1) != 0))
+    longest = float(_norms(points).max(initial=0.0))
+    for group in np.split(order, starts[1:]) if len(order) else []:
+        a, b = int(low[group[0]]), int(high[group[0]])
+        step = max(1, _SCORES // (b - a))
+        for start in range(0, len(group), step):
+            rows = asked[group[start : start + step]]
+            rough = vectors[rows] @ points[a:b].T
+            if b - a > most:
+                least = np.partition(rough, b - a - most, axis=1)[:, b - a - most]
+                # Sums of products differ by their order of addition.
+                least = least - max(1e-12, 1e-15 * dim) * _norms(vectors[rows]) * longest
+            else:
+                least = np.full(len(rows), -np.inf)
+            for row, scores, bound in zip(rows.tolist(), rough, least.tolist()):
+                near = np.flatnonzero(scores >= bound)
+                # One order of addition for each pair, wherever it is scored.
+                exact = (points[a:b][near] * vectors[row]).sum(axis=1)
+                best = np.lexsort((own_reps[a:b][near], -exact))[:most]
+                pairs = sorted((-float(exact[i]), v) for i in best for v in ids[a + near[i]])[:most]
+                out_query += [int(reps[row])] * len(pairs)
+                out_score += [-s for s, _ in pairs]
+                out_id += [v for _, v in pairs]
     return pa.table(
         {
             "rep": pa.array(out_query, pa.int64()),
@@ -292,26 +416,24 @@ def _score(table: pa.Table) -> pa.Table:
     )
 
 
-def _levels(points: DataFrame, index: dict[int, tuple]) -> DataFrame:
-    """``rep, level``: the longest prefix at which the trees together have enough candidates.
-
-    It is 0 where even the shortest has not.
-    """
-    cell = ("dim", "tree", "cell")
-    counted = _placed(points, index, False).groupBy(*cell).applyInArrow(
-        _count, "rep long, dim int, counts array<long>"
+def _best(points: DataFrame, index: dict, first: bool) -> DataFrame:
+    """``rep, vec_id, score`` of the best in each cell that a query looks into."""
+    group = ("dim", "band", "tree", "cell", "block")
+    return _placed(points, index, first).groupBy(*group).applyInArrow(
+        _score, "rep long, vec_id long, score double"
     )
-    sums = counted.groupBy("rep", "dim").agg(
-        F.array(*(F.sum(F.get("counts", F.lit(n))) for n in range(BITS + 1))).alias("counts")
-    )
-    budgets = F.create_map(
-        *(F.lit(x) for dim, (_, n, _) in index.items() for x in (dim, int(BUDGET * n**0.5)))
-    )
-    enough = F.filter(
-        F.sequence(F.lit(0), F.lit(BITS)),
-        lambda level: F.get("counts", level) >= F.element_at(budgets, F.col("dim")),
+
+
+def _nearest(scored: DataFrame) -> DataFrame:
+    """The best of ``rep, vec_id, score`` for each rep, one more than the neighbours."""
+    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+    return (
+        scored.groupBy("rep", "vec_id")
+        .agg(F.max("score").alias("score"))
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= NEIGHBOURS + 1)
+        .drop("place")
     )
-    return sums.select("rep", F.coalesce(F.array_max(enough), F.lit(0)).alias("level"))
 
 
 def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS) -> DataFrame:
@@ -334,25 +456,21 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS)
         .join(points.select("vec", "rep"), "vec")
         .select(F.col("vec_id").alias("query_id"), "rep")
     )
-    sizes = points.groupBy("dim").agg(F.count(F.lit(1)), F.max("norm")).collect()
+    sizes = points.groupBy("dim", "band").agg(F.count(F.lit(1)), F.max("norm")).collect()
     if not sizes:
         return asked.select(
             "query_id", F.lit(0).alias("rank"), F.col("rep").alias("vec_id"), F.lit(0.0).alias("score")
         ).limit(0)
     index = _cuts(points, [tuple(r) for r in sizes])
     askers = asked.select("rep").distinct()
-    marked = points.join(askers.withColumn("level", F.lit(0)), "rep", "left")
-    levels = written(_levels(marked, index))
-    placed = _placed(points.join(levels, "rep", "left"), index, True)
-    scored = placed.groupBy("dim", "tree", "cell").applyInArrow(_score, "rep long, vec_id long, score double")
-    best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    found = (
-        scored.groupBy("rep", "vec_id")
-        .agg(F.max("score").alias("score"))
-        .withColumn("place", F.row_number().over(best))
-        .where(F.col("place") <= NEIGHBOURS + 1)
-        .drop("place")
+    looked = written(_nearest(_best(points.join(askers.withColumn("ask", F.lit(0.0)), "rep", "left"), index, True)))
+    # A query's own row may be among the best, so the last of one more bounds its neighbours.
+    least = F.when(F.count(F.lit(1)) > NEIGHBOURS, F.min("score")).otherwise(F.lit(float("-inf")))
+    bounds = askers.join(looked.groupBy("rep").agg(least.alias("ask")), "rep", "left").select(
+        "rep", F.coalesce("ask", F.lit(float("-inf"))).alias("ask")
     )
+    ascended = _best(written(points.join(bounds, "rep", "left")), index, False)
+    found = _nearest(looked.unionByName(ascended))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         asked.join(found, "rep")

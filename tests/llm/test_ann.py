@@ -94,3 +94,40 @@ def test_ranges_share_prefixes():
         for a, lo, hi in zip(asked.tolist(), low, high):
             shares = [(a ^ f) >> (64 - level) == 0 if level else True for f in found.tolist()]
             assert np.flatnonzero(shares).tolist() == list(range(lo, hi))
+
+
+def recall(spark, monkeypatch, vectors, asked=None, cell=300, budget=20):
+    """Of the neighbours of the queries ``asked``, or of all, the share found; cells and first look are small."""
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "CELL_PER_ROOT", 1)
+    monkeypatch.setattr(ann, "BUDGET", budget)
+    vectors = vectors.astype(np.float32)
+    rows = table(spark, list(enumerate(vectors.tolist())))
+    got = {}
+    for r in ann.search(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    whole = vectors.astype(float)
+    shares = []
+    for q in range(0, len(whole), 20) if asked is None else asked:
+        scores = whole @ whole[q]
+        scores[q] = -np.inf
+        shares.append(len(got[q] & set(np.argsort(-scores, kind="stable")[:20].tolist())) / 20)
+    return np.mean(shares)
+
+
+def unit(vectors):
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def test_an_ascent_meets_what_it_must():
+    cosine = np.linspace(-1, 1, 2001)
+    trees, levels = ann.ascent(cosine)
+    shares = (1 - np.arccos(cosine) / np.pi) ** levels
+    assert (1 - (1 - shares) ** trees >= ann.FOUND - 1e-9).all()
+    assert trees.max() <= ann.TREES and levels[cosine > 0.999].min() > 10 and levels[cosine < 0].max() == 0
+
+
+def test_recall_does_not_fall_with_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    for n in (2000, 20_000):
+        assert recall(spark, monkeypatch, unit(rng.standard_normal((n, 12)))) >= 0.9
