@@ -302,7 +302,7 @@ def _blocks(points: DataFrame, index: dict, first: bool) -> dict[tuple, np.ndarr
 
 _PLACED = {
     "dim": "int", "band": "int", "tree": "int", "cell": "long", "block": "long", "hash": "long", "rep": "long",
-    "query": "boolean", "level": "long", "ids": "array<long>", "vec": "binary",
+    "query": "boolean", "level": "long", "least": "double", "ids": "array<long>", "vec": "binary",
 }
 
 
@@ -322,7 +322,7 @@ def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
                 planes[dim] = hyperplanes(dim)
             values, reps = _vectors(part.column(2), dim), part.column(0).to_numpy()
 
-            def out(band, tree, at, cells, block, found, query, level):
+            def out(band, tree, at, cells, block, found, query, level, bound):
                 for start in range(0, len(at), _ROWS):
                     cut = slice(start, start + _ROWS)
                     own = part.take(pa.array(at[cut]))
@@ -332,7 +332,7 @@ def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
                     columns = [
                         *(np.full(n, x, np.int32) for x in (dim, band, tree)), cells[cut].astype(np.int64),
                         block[cut].astype(np.int64), signed, own.column(0), np.full(n, query),
-                        level[cut].astype(np.int64), own.column(1), own.column(2),
+                        level[cut].astype(np.int64), bound[cut], own.column(1), own.column(2),
                     ]
                     columns = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
                     yield pa.RecordBatch.from_arrays(columns, list(_PLACED))
@@ -348,7 +348,8 @@ def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
                     copies = blocks[dim, band, tree][cells]
                     at = np.repeat(np.arange(len(rows)), copies)
                     block = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    yield from out(band, tree, rows[at], cells[at], block, found[at, tree], False, np.zeros(len(at)))
+                    none = np.zeros(len(at))
+                    yield from out(band, tree, rows[at], cells[at], block, found[at, tree], False, none, none)
             asks = np.flatnonzero(part.column(5).is_valid().to_numpy(zero_copy_only=False))
             if not len(asks):
                 continue
@@ -357,7 +358,8 @@ def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
             mixed = (reps[asks].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for band, tree, at, cells, level, found in _looks(index, dim, values[asks], reps[asks], least, planes[dim]):
                 block = mixed[at].astype(np.int64) % blocks[dim, band, tree][cells]
-                yield from out(band, tree, asks[at], cells, block, found, True, level)
+                bound = np.full(len(at), -np.inf) if first else least[at]
+                yield from out(band, tree, asks[at], cells, block, found, True, level, bound)
 
     schema = ", ".join(f"{n} {kind}" for n, kind in _PLACED.items())
     return points.select("rep", "ids", "vec", "dim", "band", "ask").mapInArrow(run, schema)
@@ -368,7 +370,10 @@ def _unsigned(column) -> np.ndarray:
 
 
 def _score(table: pa.Table) -> pa.Table:
-    """For each query in a block, the best vec_ids of the points that share its level."""
+    """For each query in a block, the best vec_ids of the points that share its level.
+
+    Those below the score of its last neighbour so far cannot be in the result.
+    """
     table = table.combine_chunks()
     dim = table.column("dim")[0].as_py()
     query = table.column("query").to_numpy()
@@ -378,6 +383,7 @@ def _score(table: pa.Table) -> pa.Table:
     items = items[np.argsort(hash_[items], kind="stable")]
     points, own_reps = vectors[items], reps[items]
     ids = table.column("ids").take(pa.array(items)).to_pylist()
+    bounds = table.column("least").to_numpy()
     low, high = _ranges(hash_[items], hash_[asked], table.column("level").to_numpy()[asked])
     most = NEIGHBOURS + 1
     out_query, out_id, out_score = [], [], []
@@ -393,15 +399,16 @@ def _score(table: pa.Table) -> pa.Table:
             rows = asked[group[start : start + step]]
             rough = vectors[rows] @ points[a:b].T
             if b - a > most:
-                least = np.partition(rough, b - a - most, axis=1)[:, b - a - most]
-                # Sums of products differ by their order of addition.
-                least = least - max(1e-12, 1e-15 * dim) * _norms(vectors[rows]) * longest
+                least = np.maximum(np.partition(rough, b - a - most, axis=1)[:, b - a - most], bounds[rows])
             else:
-                least = np.full(len(rows), -np.inf)
+                least = bounds[rows]
+            # Sums of products differ by their order of addition.
+            least = least - max(1e-12, 1e-15 * dim) * _norms(vectors[rows]) * longest
             for row, scores, bound in zip(rows.tolist(), rough, least.tolist()):
                 near = np.flatnonzero(scores >= bound)
                 # One order of addition for each pair, wherever it is scored.
                 exact = (points[a:b][near] * vectors[row]).sum(axis=1)
+                near, exact = near[exact >= bounds[row]], exact[exact >= bounds[row]]
                 best = np.lexsort((own_reps[a:b][near], -exact))[:most]
                 pairs = sorted((-float(exact[i]), v) for i in best for v in ids[a + near[i]])[:most]
                 out_query += [int(reps[row])] * len(pairs)

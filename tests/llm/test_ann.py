@@ -131,3 +131,11 @@ def test_recall_does_not_fall_with_the_size(spark, monkeypatch):
     rng = np.random.default_rng(4)
     for n in (2000, 20_000):
         assert recall(spark, monkeypatch, unit(rng.standard_normal((n, 12)))) >= 0.9
+
+
+def test_a_third_of_the_rows_in_one_near_equal_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = unit(rng.standard_normal((6000, 32)))
+    near = rng.permutation(6000)[:2000]
+    vectors[near] = unit(vectors[0] + 0.002 / 32**0.5 * rng.standard_normal((2000, 32)))
+    assert recall(spark, monkeypatch, vectors, [q for q in near.tolist() if q % 20 == 0]) >= 0.9
