@@ -139,3 +139,11 @@ def test_a_third_of_the_rows_in_one_near_equal_cluster(spark, monkeypatch):
     near = rng.permutation(6000)[:2000]
     vectors[near] = unit(vectors[0] + 0.002 / 32**0.5 * rng.standard_normal((2000, 32)))
     assert recall(spark, monkeypatch, vectors, [q for q in near.tolist() if q % 20 == 0]) >= 0.9
+
+
+def test_a_few_long_vectors_and_short_ones(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = unit(rng.standard_normal((6000, 12)))
+    vectors[[7, 3000, 4001]] *= [[100.0], [10.0], [3.0]]
+    vectors[100:200] *= 1e-3
+    assert recall(spark, monkeypatch, vectors) >= 0.9
