@@ -115,3 +115,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT (coalesce(reference_words, 0) >= 1000 AND n_words >= 50 AND coalesce(wdist > 0.4, false)) AS kept
 FROM b
 """
+
+EXACT_DEDUP = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM documents),
+g AS (SELECT doc_id, normal, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size FROM t WINDOW w AS (PARTITION BY normal))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM g
+"""

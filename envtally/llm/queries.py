@@ -12,15 +12,18 @@ from envtally.llm import (
     ann,
     byte_bpe,
     co_training,
+    exact_dedup,
     language_id,
     mixing,
+    periodic_runs,
+    phrases,
     quality_rules,
     simhash,
     token_counts,
     url_filter,
     warc_fixity,
 )
-from envtally.llm.oracle_sql import FIXITY, QUALITY_RULES, URL_FILTER
+from envtally.llm.oracle_sql import EXACT_DEDUP, FIXITY, QUALITY_RULES, URL_FILTER
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -100,6 +103,56 @@ def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` of ``docs``; one document in ten, by its id, ends in a repetition.
+
+    With h the CRC-32 of the decimal doc_id, that is one with h % 10 = 0 and a word. With
+    g = h // 10, a = g % n and p = 1 + (n - a) // (3 + g % 8), each of its n words from a on
+    is replaced by that at a + (i - a) % p, and words are joined by a space. A document with
+    no doc_id is left as it is.
+    """
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    a, period = F.col("g") % F.col("n"), 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    ending = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+        lambda i: F.element_at("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int") + 1),
+    )
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = h % 10 == 0
+    hashed = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words).alias("w"))
+    sized = hashed.withColumn("n", F.when(F.size("w") > 0, F.size("w").cast("long"))).withColumn("a", a)
+    text = F.when(F.col("n").isNotNull(), F.array_join(ending, " ")).otherwise(F.col("text"))
+    return sized.withColumn("p", period).select("doc_id", text.alias("text"))
+
+
+def _periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted(table(spark, sf_dir, "documents")), ["doc_id"])
+    # The greatest length, then the smallest start, then the smallest period.
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    spans = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    one = found.select("*", longest.alias("one")).select(
+        "*", (-F.col("one.col2")).alias("start"), F.col("one.length"), (-F.col("one.col3")).alias("period")
+    )
+    return one.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start", "length", "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(spans, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def _exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("document.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_co_training": _co_training,
     "op2_language_id": _language_id,
@@ -111,10 +164,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": _token_counts,
     "op9_hash_prefix_forest": _ann,
     "op10_warc_fixity": _fixity,
+    "op11_phrases": _phrases,
+    "op12_periodic_runs": _periodic_runs,
+    "op13_exact_dedup": _exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": QUALITY_RULES,
     "op6_url_filter": URL_FILTER,
     "op10_warc_fixity": FIXITY,
+    "op13_exact_dedup": EXACT_DEDUP,
 }
