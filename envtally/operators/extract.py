@@ -11,7 +11,8 @@ text itself never leaves that pass. The single operators are selections of it.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from envtally.functions.names import (
     matches,
     may_match,
 )
+from envtally.functions.reuse import built_once, frozen
 from envtally.functions.text import (
     BLANK,
     BLANKS,
@@ -146,56 +148,73 @@ def _found(role: str | Column, names: Column) -> Column:
     return F.struct(role.alias("role"), names.alias("names"))
 
 
-def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_line_bytes: int | None) -> DataFrame:
-    """Facts of the files of the given kinds; the plan holds what those kinds need only."""
-    content, lang, text = F.col("content"), F.col("lang"), F.col("text")
+class _Expressions(NamedTuple):
+    """What a scan of the files of some kinds computes, file by file and then line by line."""
+
+    failed: Column
+    relevant: Column
+    lines: Column
+    may_have_fact: Column
+    text: Column
+    found: Column
+
 
-    def by_kind(docker: Column, source: Column) -> Column:
+@built_once
+def _expressions(kinds: tuple[str, ...], frozen_patterns: tuple, max_line_bytes: int | None) -> _Expressions:
+    """Expressions over files and lines of the given kinds; they hold what those kinds need only."""
+    patterns = dict(frozen_patterns)
+    content, lang, text, failed = F.col("content"), F.col("lang"), F.col("text"), F.col("failed")
+
+    def by_kind(docker: Callable[[], Column], source: Callable[[], Column]) -> Column:
         if kinds == (DOCKER,):
-            return docker
+            return docker()
         if kinds == (SOURCE,):
-            return source
-        return F.when(F.col("kind") == DOCKER, docker).otherwise(source)
+            return source()
+        return F.when(F.col("kind") == DOCKER, docker()).otherwise(source())
 
-    relevant = by_kind(
-        _has_from(join_continued(content)), _may_have_code_use(lang, content, patterns)
+    nameless = F.array(_found(failed, F.array(F.lit(None).cast("string"))))
+    found = by_kind(
+        lambda: F.array(
+            _found(DOCKER_DECLARED, _docker_declared_names(text)),
+            _found(DOCKER_USED, _docker_used_names(text)),
+        ),
+        lambda: F.array(_found(CODE_USED, _names_in_code(lang, text, patterns))),
     )
-    failed = failure(content, max_line_bytes)
+    return _Expressions(
+        failed=failure(content, max_line_bytes),
+        relevant=by_kind(
+            lambda: _has_from(join_continued(content)), lambda: _may_have_code_use(lang, content, patterns)
+        ),
+        lines=_pieces(failed, by_kind(lambda: join_continued(content), lambda: content)),
+        may_have_fact=by_kind(
+            lambda: _may_have_docker_fact(text), lambda: _may_have_code_use(lang, text, patterns)
+        ),
+        text=by_kind(lambda: trim_space(text), lambda: text),
+        found=F.when(failed.isNotNull(), nameless).otherwise(found),
+    )
+
+
+def _pieces(failed: Column, content: Column) -> Column:
+    """The lines of a text, numbered from 0; one that failed has a single empty one."""
+    lines = F.when(failed.isNotNull(), F.array(F.lit(""))).otherwise(F.split(content, "\n"))
+    return F.posexplode(lines).alias("pos", "text")
+
+
+def _facts_of(files: DataFrame, kinds: tuple[str, ...], patterns: Patterns, max_line_bytes: int | None) -> DataFrame:
+    """Facts of the files of the given kinds."""
+    of = _expressions(kinds, frozen(patterns), max_line_bytes)
     of_kind = classify_files(files, patterns).where(F.col("kind").isin(*kinds))
     lines = (
-        of_kind.where(failed.isNotNull() | relevant)
+        of_kind.where(of.failed.isNotNull() | of.relevant)
         # Before the explode, so that it is decided once per file and not per line.
-        .withColumn("failed", failed)
-        .select(
-            "project",
-            "path",
-            "kind",
-            "lang",
-            "failed",
-            F.posexplode(
-                F.when(F.col("failed").isNotNull(), F.array(F.lit("")))
-                .otherwise(F.split(by_kind(join_continued(content), content), "\n"))
-            ).alias("pos", "text"),
-        )
+        .withColumn("failed", of.failed)
+        .select("project", "path", "kind", "lang", "failed", of.lines)
     )
     failed = F.col("failed")
-    kept = lines.where(
-        failed.isNotNull()
-        | by_kind(_may_have_docker_fact(text), _may_have_code_use(lang, text, patterns))
-    ).withColumns(
-        {
-            "line_no": F.when(failed.isNull(), F.col("pos") + 1),
-            "text": by_kind(trim_space(text), text),
-        }
+    kept = lines.where(failed.isNotNull() | of.may_have_fact).withColumns(
+        {"line_no": F.when(failed.isNull(), F.col("pos") + 1), "text": of.text}
     )
-    docker_found = F.array(
-        _found(DOCKER_DECLARED, _docker_declared_names(text)),
-        _found(DOCKER_USED, _docker_used_names(text)),
-    )
-    code_found = F.array(_found(CODE_USED, _names_in_code(lang, text, patterns)))
-    nameless = F.array(_found(failed, F.array(F.lit(None).cast("string"))))
-    found = F.when(failed.isNotNull(), nameless).otherwise(by_kind(docker_found, code_found))
-    return _fact_rows(kept, found, F.lit(None).cast("int"))
+    return _fact_rows(kept, of.found, F.lit(None).cast("int"))
 
 
 def extract_facts(
@@ -209,30 +228,29 @@ def extract_facts(
 
 def extract_env_facts(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
     """Declarations in env files, and failures, in the shape of ``extract_facts``."""
-    content, text = F.col("content"), F.col("text")
-    failed = failure(content, max_line_bytes)
+    of = _env_expressions(max_line_bytes)
     lines = (
-        env_files.withColumn("failed", failed)
-        .select(
-            "project",
-            F.col("env_path").alias("path"),
-            "ordinal",
-            "failed",
-            F.posexplode(
-                F.when(F.col("failed").isNotNull(), F.array(F.lit("")))
-                .otherwise(F.split(content, "\n"))
-            ).alias("pos", "text"),
-        )
+        env_files.withColumn("failed", of.failed)
+        .select("project", F.col("env_path").alias("path"), "ordinal", "failed", of.lines)
         .withColumn("line_no", F.when(F.col("failed").isNull(), F.col("pos") + 1))
-        .where(F.col("failed").isNotNull() | text.contains("="))
+        .where(of.may_have_fact)
     )
-    found = F.when(
-        F.col("failed").isNotNull(),
-        F.array(_found(F.col("failed"), F.array(F.lit(None).cast("string")))),
-    ).otherwise(
-        F.array(_found(ENV_DECLARED, _first_group(trim_space(text), rf"\A({NAME}){BLANK}*=")))
+    return _fact_rows(lines, of.found, F.col("ordinal"))
+
+
+@built_once
+def _env_expressions(max_line_bytes: int | None) -> _Expressions:
+    content, text, failed = F.col("content"), F.col("text"), F.col("failed")
+    nameless = F.array(_found(failed, F.array(F.lit(None).cast("string"))))
+    declared = F.array(_found(ENV_DECLARED, _first_group(trim_space(text), rf"\A({NAME}){BLANK}*=")))
+    return _Expressions(
+        failed=failure(content, max_line_bytes),
+        relevant=F.lit(True),
+        lines=_pieces(failed, content),
+        may_have_fact=failed.isNotNull() | text.contains("="),
+        text=text,
+        found=F.when(failed.isNotNull(), nameless).otherwise(declared),
     )
-    return _fact_rows(lines, found, F.col("ordinal"))
 
 
 def env_declarations(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:

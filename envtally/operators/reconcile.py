@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.paths import path_of_walk_key, walk_key
+from envtally.functions.reuse import built_once
 from envtally.operators.extract import CODE_USED, DOCKER_DECLARED, DOCKER_USED, ENV_DECLARED
 from envtally.operators.ordering import with_position
 from envtally.operators.pinning import pin
 from envtally.operators.rules import RULES
 
 PAIR = ("project", "variable")
+#: What is counted per project, beside its variables.
+COUNTS = ("files_scanned", "unlistable", "readable_env_files")
 
 
 def _place() -> Column:
@@ -105,8 +108,23 @@ def _broken(facts: DataFrame, roles: tuple[str, ...], rule_id: str) -> DataFrame
     return reconcile(facts.where(F.col("role").isin(*roles))).where(rule_tests()[rule_id])
 
 
-def reconcile(facts: DataFrame) -> DataFrame:
-    """All that is known of each (project, variable)."""
+def reconcile(facts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """All that is known of each (project, variable).
+
+    With ``counts`` there is one more row per project, which has no variable but the sums of
+    COUNTS: variables and counts of a project then come from one shuffle.
+    """
+    rows = facts.where(F.col("variable").isNotNull())
+    columns, sums = _folded()
+    if counts is None:
+        return rows.groupBy(*PAIR).agg(*columns).select(*PAIR, *_known())
+    union = rows.unionByName(counts, allowMissingColumns=True)
+    return union.groupBy(*PAIR).agg(*columns, *sums).select(*PAIR, *_known(), *COUNTS)
+
+
+@built_once
+def _folded() -> tuple[list[Column], list[Column]]:
+    """Aggregates of facts, and of counts."""
 
     def has(role: str) -> Column:
         return F.col("role") == role
@@ -114,32 +132,33 @@ def reconcile(facts: DataFrame) -> DataFrame:
     def first(role: str) -> Column:
         return F.min(F.when(has(role), _place()))
 
-    return (
-        facts.where(F.col("variable").isNotNull())
-        .groupBy(*PAIR)
-        .agg(
-            F.max(F.when(has(ENV_DECLARED), F.struct("ordinal", "path"))).alias("last_env"),
-            F.max(has(DOCKER_DECLARED)).alias("docker_declared"),
-            F.sum(has(CODE_USED).cast("long")).alias("uses"),
-            first(CODE_USED).alias("first_use"),
-            first(DOCKER_USED).alias("first_docker_use"),
-        )
-        .select(
-            *PAIR,
-            F.col("last_env").isNotNull().alias("env_declared"),
-            F.col("last_env.path").alias("declared_source"),
-            "docker_declared",
-            "uses",
-            (F.col("uses") > 0).alias("code_used"),
-            _path("first_use").alias("use_path"),
-            F.col("first_use.line_no").alias("use_line"),
-            F.col("first_docker_use").isNotNull().alias("docker_used"),
-            _path("first_docker_use").alias("docker_path"),
-            F.col("first_docker_use.line_no").alias("docker_line"),
-        )
-    )
-
-
+    facts = [
+        F.max(F.when(has(ENV_DECLARED), F.struct("ordinal", "path"))).alias("last_env"),
+        F.coalesce(F.max(has(DOCKER_DECLARED)), F.lit(False)).alias("docker_declared"),
+        F.sum(has(CODE_USED).cast("long")).alias("uses"),
+        first(CODE_USED).alias("first_use"),
+        first(DOCKER_USED).alias("first_docker_use"),
+    ]
+    return facts, [F.sum(c).alias(c) for c in COUNTS]
+
+
+@built_once
+def _known() -> list[Column]:
+    return [
+        F.col("last_env").isNotNull().alias("env_declared"),
+        F.col("last_env.path").alias("declared_source"),
+        F.col("docker_declared"),
+        F.col("uses"),
+        F.coalesce(F.col("uses") > 0, F.lit(False)).alias("code_used"),
+        _path("first_use").alias("use_path"),
+        F.col("first_use.line_no").alias("use_line"),
+        F.col("first_docker_use").isNotNull().alias("docker_used"),
+        _path("first_docker_use").alias("docker_path"),
+        F.col("first_docker_use.line_no").alias("docker_line"),
+    ]
+
+
+@built_once
 def rule_tests() -> dict[str, Column]:
     """For each rule, when a row of ``reconcile`` breaks it."""
     env, code = F.col("env_declared"), F.col("code_used")
@@ -153,8 +172,9 @@ def rule_tests() -> dict[str, Column]:
     }
 
 
-def pair_findings(pairs: DataFrame) -> DataFrame:
-    """One row per broken rule and variable."""
+@built_once
+def _finding() -> tuple[Column, list[Column]]:
+    """The rules that a row of ``reconcile`` breaks, exploded, and the columns of each."""
     nothing = F.lit(None).cast("string"), F.lit(None).cast("int")
     use = F.col("use_path"), F.col("use_line")
     places = {
@@ -178,17 +198,13 @@ def pair_findings(pairs: DataFrame) -> DataFrame:
             source.alias("declared_source"),
         )
         broken.append(F.when(tests[rule.rule_id], row))
-    return (
-        pairs.select(*PAIR, F.explode(F.array(*broken)).alias("finding"))
-        .where(F.col("finding").isNotNull())
-        .select(
-            "project",
-            "finding.rule_id",
-            "finding.level",
-            "variable",
-            "finding.message",
-            "finding.path",
-            "finding.line_no",
-            "finding.declared_source",
-        )
-    )
+    names = ("rule_id", "level", "variable", "message", "path", "line_no", "declared_source")
+    columns = [F.col(name if name == "variable" else f"finding.{name}") for name in names]
+    return F.explode(F.array(*broken)).alias("finding"), columns
+
+
+def pair_findings(pairs: DataFrame) -> DataFrame:
+    """One row per broken rule and variable."""
+    finding, columns = _finding()
+    found = pairs.select(*PAIR, finding).where(F.col("finding").isNotNull())
+    return found.select("project", *columns)

@@ -12,7 +12,7 @@ _MOST_HOT_KEYS = 1000
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
     """Keys with more than a thousandth of all that is counted, so less than a thousand keys."""
-    total = counts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    total = counts.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).scalar()
     return counts.where(F.col(count) * _MOST_HOT_KEYS > total).select(*keys)
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.json import json_location, json_string
-from envtally.functions.paths import to_slash
+from envtally.functions.paths import to_slash, walk_key
 from envtally.operators.extract import CODE_USED, uses_of
-from envtally.operators.ordering import with_position
-from envtally.operators.reconcile import PAIR, all_locations, pair_findings
+from envtally.operators.ordering import with_item_and_part, with_position
+from envtally.operators.reconcile import PAIR, pair_findings, rule_tests
 from envtally.operators.rules import RULES
 from envtally.operators.skew import hot_keys, salted_join
 from envtally.plans.scan import ScanResult
@@ -87,7 +87,10 @@ def text_report(result: ScanResult) -> DataFrame:
         "variable",
         F.concat(F.lit("- "), "variable", F.coalesce(place, F.lit(""))).alias("text"),
     )
-    numbered = with_position(headings.unionByName(items), ("project",), order, "line_no")
+    of_all = pair_findings(result.pairs).select(
+        "project", _section_of(sections).alias("section"), F.lit(2).alias("sub"), "variable"
+    )
+    numbered = with_position(headings.unionByName(items), ("project",), order, "line_no", of_all)
     return numbered.select("project", "line_no", "text")
 
 
@@ -126,58 +129,58 @@ def json_report(result: ScanResult) -> DataFrame:
     )
 
     sections = {"ENV001": 1, "ENV002": 2, "ENV003": 4, "ENV004": 5, "ENV005": 6}
+    name = json_string(F.col("variable"))
+    place = json_location(F.col("path"), F.col("line_no"))
+    section = F.col("section")
+    source = F.concat(name, F.lit(":"), json_string(F.col("path")))
+    located = F.concat(F.lit('{"variable":'), name, F.lit(',"location":'), place, F.lit("}"))
+    opened = F.concat(F.lit('{"variable":'), name, F.lit(',"locations":['))
+    head = F.when(section.isin(1, 5), name).when(section == 3, source).when(section == 6, located).otherwise(opened)
     sources = result.env_precedence.select(
         "project", F.lit(3).alias("section"), "variable", F.col("declared_source").alias("path")
     )
-    entries = result.findings.select(
-        "project", _section_of(sections).alias("section"), "variable", "path", "line_no"
-    ).unionByName(sources, allowMissingColumns=True)
-    items = with_position(entries, ("project", "section"), ("variable",), "item")
-    section, name = F.col("section"), json_string(F.col("variable"))
-    comma = F.when(F.col("item") == 1, "").when(section.isin(2, 4), "]},").otherwise(",")
-    item_pieces = items.select(
-        "project",
-        "section",
-        "item",
-        F.lit(0).cast("long").alias("part"),
-        F.concat(
-            comma,
-            F.when(section.isin(1, 5), name)
-            .when(section == 3, F.concat(name, F.lit(":"), json_string(F.col("path"))))
-            .when(
-                section == 6,
-                F.concat(
-                    F.lit('{"variable":'), name, F.lit(',"location":'),
-                    json_location(F.col("path"), F.col("line_no")), F.lit("}"),
-                ),
-            )
-            .otherwise(F.concat(F.lit('{"variable":'), name, F.lit(',"locations":['))),
-        ).alias("text"),
+    heads = (
+        result.findings.select("project", _section_of(sections).alias("section"), "variable", "path", "line_no")
+        .unionByName(sources, allowMissingColumns=True)
+        .select(
+            "project", "section", "variable", F.lit(False).alias("is_part"),
+            F.lit("").alias("key"), F.lit(0).alias("line_no"), head.alias("text"),
+        )
     )
 
-    listed = items.where(section.isin(2, 4)).select("project", "variable", "section", "item")
-    # Every variable of section 4 is in section 2 too; its locations are joined and ranked once.
-    missing = listed.groupBy(*PAIR).agg(
-        F.collect_list(F.struct("section", "item")).alias("places")  # two at most
-    )
+    # A variable of section 4 is in section 2 too; its uses are joined once.
+    tests = rule_tests()
+    missing = result.pairs.where(tests["ENV002"]).select(
+        *PAIR, F.when(tests["ENV003"], F.array(F.lit(2), F.lit(4))).otherwise(F.array(F.lit(2))).alias("sections")
+    ).join(result.auditable, "project", "left_semi")
     uses = uses_of(result.facts, CODE_USED)
     hot = hot_keys(result.pairs, PAIR, "uses")
-    wanted = salted_join(uses, missing.select(*PAIR), PAIR, "path", hot, "left_semi")
-    located = salted_join(all_locations(wanted), missing, PAIR, "path", hot)
-    location_pieces = located.select("*", F.inline("places")).select(
-        "project",
-        "section",
-        "item",
-        F.col("pos").cast("long").alias("part"),
-        F.concat(
-            F.when(F.col("pos") > 1, F.lit(",")).otherwise(F.lit("")),
-            json_location(F.col("path"), F.col("line_no")),
-        ).alias("text"),
+    parts = salted_join(uses, missing, PAIR, "path", hot).select(
+        "project", F.explode("sections").alias("section"), "variable", F.lit(True).alias("is_part"),
+        walk_key(F.col("path")).alias("key"), "line_no", place.alias("text"),
     )
-    return (
-        skeleton.unionByName(item_pieces).unionByName(location_pieces)
-        .select("project", *order, "text")
+    numbered = with_item_and_part(
+        heads.unionByName(parts), ("project", "section"), "variable", ("key", "line_no"),
+        sampled=_keys_of_uses(result),
+    )
+    comma = (
+        F.when(F.when(F.col("is_part"), F.col("part")).otherwise(F.col("item")) == 1, "")
+        .when(~F.col("is_part") & section.isin(2, 4), "]},")
+        .otherwise(",")
+    )
+    pieces = numbered.select("project", *order, F.concat(comma, "text").alias("text"))
+    return skeleton.select("project", *order, "text").unionByName(pieces)
+
+
+def _keys_of_uses(result: ScanResult) -> DataFrame:
+    """About the keys of the pieces of a JSON report, without a join: those of all uses and
+    of all variables, as if each were missing."""
+    uses = uses_of(result.facts, CODE_USED).select(
+        *PAIR, F.lit(True).alias("is_part"), walk_key(F.col("path")).alias("key"), "line_no"
     )
+    variables = result.pairs.select(*PAIR, F.lit(False).alias("is_part"), F.lit("").alias("key"), F.lit(0).alias("line_no"))
+    section = F.when(F.col("is_part"), F.array(F.lit(2), F.lit(4))).otherwise(F.array(F.lit(1), F.lit(3), F.lit(5)))
+    return uses.unionByName(variables).withColumn("section", F.explode(section))
 
 
 def sarif_rules(
@@ -216,7 +219,8 @@ def sarif_results(result: ScanResult) -> DataFrame:
         .withColumn("rule_index", index)
         .drop(*[rule.rule_id for rule in RULES])
     )
-    return with_position(indexed, ("project",), ("rule_id", "message"), "pos").select(
+    of_all = pair_findings(result.pairs)
+    return with_position(indexed, ("project",), ("rule_id", "message"), "pos", of_all).select(
         "project", "pos", "rule_id", "rule_index", "level", "variable", "message",
         "path", "line_no", "declared_source",
     )

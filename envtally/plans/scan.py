@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.names import DEFAULT_PATTERNS, Patterns
 from envtally.operators.extract import FAILURES, extract_env_facts, extract_facts
+from envtally.operators.ordering import whole
 from envtally.operators.pinning import pin
-from envtally.operators.reconcile import pair_findings, reconcile, rule_tests
-from envtally.operators.rules import RULES
+from envtally.operators.reconcile import COUNTS, pair_findings, reconcile, rule_tests
 from envtally.sources.tables import (
     candidate_files,
     classify_files,
     counted_files,
-    env_status,
+    project_counts,
     prune_ignored,
     readable_projects,
 )
@@ -29,14 +29,14 @@ class ScanResult:
     """Lazy results of one audit.
 
     ``files`` has every file with the number of times a scan counts it. ``facts`` are
-    ``extract_facts`` of all texts, ``pairs`` what ``reconcile`` makes of them. Unless
-    they are pinned, each result reads the texts anew.
+    ``extract_facts`` of all texts, ``folded`` what ``reconcile`` makes of them and of the
+    counts of the projects. Unless they are pinned, each result reads the texts anew.
     """
 
     files: DataFrame
     env_files: DataFrame
     facts: DataFrame
-    pairs: DataFrame
+    folded: DataFrame
     extensions: tuple[str, ...]
     max_line_bytes: int | None
     facts_pinned: bool = False
@@ -47,14 +47,22 @@ class ScanResult:
         if self.facts_pinned:
             return self.with_pinned_pairs()
         facts = pin(self.facts)
-        pinned = replace(self, facts=facts, pairs=reconcile(facts), facts_pinned=True)
+        counts = project_counts(self.files, self.env_files, self.max_line_bytes)
+        pinned = replace(self, facts=facts, folded=reconcile(facts, counts), facts_pinned=True)
         return pinned.with_pinned_pairs()
 
     def with_pinned_pairs(self) -> ScanResult:
         """Enough for use of findings and counts more than once, and less to write."""
         if self.pairs_pinned:
             return self
-        return replace(self, pairs=pin(self.pairs), pairs_pinned=True)
+        return replace(self, folded=pin(self.folded), pairs_pinned=True)
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """One row per project and variable. The counts of projects are read only with those."""
+        if self.pairs_pinned:
+            return self.folded.where(F.col("variable").isNotNull()).drop(*COUNTS)
+        return reconcile(self.facts)
 
     @cached_property
     def auditable(self) -> DataFrame:
@@ -84,32 +92,23 @@ class ScanResult:
     def totals(self) -> DataFrame:
         """Counts of every project: files, variables, findings by rule, env files.
 
-        Three relations with one row per project and task after partial aggregation.
-        The file count needs paths only, so it does not read the texts.
+        One more aggregate of what is folded already. The file count needs paths only, so it
+        does not read the texts.
         """
-        counts = [rule.rule_id for rule in RULES]
-        by_file = self.files.groupBy("project").agg(
-            F.sum(F.col("multiplicity").cast("long")).alias("files_scanned"),
-            F.sum(F.col("unlistable").cast("long")).alias("unlistable"),
-        )
-        by_pair = self.pairs.groupBy("project").agg(
-            F.sum(F.col("env_declared").cast("long")).alias("variables_declared"),
-            F.sum(F.col("code_used").cast("long")).alias("variables_used"),
-            *[F.sum(test.cast("long")).alias(rule) for rule, test in rule_tests().items()],
-        )
-        by_env_file = env_status(self.env_files, self.max_line_bytes)
-        union = by_file.unionByName(by_pair, allowMissingColumns=True).unionByName(
-            by_env_file, allowMissingColumns=True
-        )
-        measures = [
-            "files_scanned", "variables_declared", "variables_used", *counts, "readable_env_files",
-            "unlistable",
-        ]
-        totals = union.groupBy("project").agg(
-            *[F.coalesce(F.sum(m), F.lit(0).cast("long")).alias(m) for m in measures]
-        ).withColumn("mismatches_found", sum((F.col(c) for c in counts[1:]), F.col(counts[0])))
-        # One row per project, and every part of a report needs it.
-        return pin(totals) if self.pairs_pinned else totals
+        rules = rule_tests()
+        measures = {
+            "files_scanned": F.col("files_scanned"),
+            "variables_declared": F.col("env_declared").cast("long"),
+            "variables_used": F.col("code_used").cast("long"),
+            **{rule: test.cast("long") for rule, test in rules.items()},
+            "readable_env_files": F.col("readable_env_files"),
+            "unlistable": F.col("unlistable"),
+        }
+        totals = self.folded.groupBy("project").agg(
+            *[F.coalesce(F.sum(m), F.lit(0).cast("long")).alias(name) for name, m in measures.items()]
+        ).withColumn("mismatches_found", reduce(Column.__add__, map(F.col, rules)))
+        # Every part of a report needs them, from one exchange.
+        return whole(totals) if self.pairs_pinned else totals
 
     @cached_property
     def report_totals(self) -> DataFrame:
@@ -172,11 +171,12 @@ def scan(
     facts = extract_facts(kept, patterns, max_line_bytes).unionByName(
         extract_env_facts(env_files, max_line_bytes)
     )
+    counted = counted_files(files, ignore, patterns)
     return ScanResult(
-        files=counted_files(files, ignore, patterns),
+        files=counted,
         env_files=env_files,
         facts=facts,
-        pairs=reconcile(facts),
+        folded=reconcile(facts, project_counts(counted, env_files, max_line_bytes)),
         extensions=tuple(patterns),
         max_line_bytes=max_line_bytes,
     )

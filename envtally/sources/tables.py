@@ -17,28 +17,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from envtally.functions.names import DEFAULT_PATTERNS
-from envtally.functions.paths import extension, has_ignored_directory, is_dockerfile
+from envtally.functions.paths import extension, has_ignored_directory, is_dockerfile, parse_ignore
+from envtally.functions.reuse import built_once
 from envtally.functions.text import MAX_LINE_BYTES, failure, is_oversize
 
 DOCKER, SOURCE = "docker", "source"
 
 
 def _is_candidate(files: DataFrame, extensions: Iterable[str]) -> Column:
-    path = F.col("path")
-    test = extension(path).isin(*extensions) | is_dockerfile(path)
+    test = _has_candidate_name(tuple(extensions))
     for flag in ("is_symlink", "unlistable"):
         test = test & ~_flag(files, flag)
     return test
 
 
+@built_once
+def _has_candidate_name(extensions: tuple[str, ...]) -> Column:
+    path = F.col("path")
+    return extension(path).isin(*extensions) | is_dockerfile(path)
+
+
 def _flag(files: DataFrame, name: str) -> Column:
     """An optional column; NULL is false."""
     return F.coalesce(F.col(name), F.lit(False)) if name in files.columns else F.lit(False)
 
 
 def _is_ignored(files: DataFrame, ignore: str | Iterable[str]) -> Column:
-    root = F.col("root") if "root" in files.columns else None
-    return has_ignored_directory(F.col("path"), ignore, root)
+    return _in_ignored_directory(tuple(parse_ignore(ignore)), "root" in files.columns)
+
+
+@built_once
+def _in_ignored_directory(names: tuple[str, ...], with_root: bool) -> Column:
+    return has_ignored_directory(F.col("path"), names, F.col("root") if with_root else None)
 
 
 def candidate_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERNS) -> DataFrame:
@@ -110,15 +120,18 @@ def classify_files(files: DataFrame, extensions: Iterable[str] = DEFAULT_PATTERN
     A file that is a candidate by extension and by name, such as ``Dockerfile.py``,
     is a Dockerfile that is counted twice.
     """
+    return files.withColumns(_labels(tuple(extensions)))
+
+
+@built_once
+def _labels(extensions: tuple[str, ...]) -> dict[str, Column]:
     path = F.col("path")
     docker, source = is_dockerfile(path), extension(path).isin(*extensions)
-    return files.withColumns(
-        {
-            "kind": F.when(docker, F.lit(DOCKER)).when(source, F.lit(SOURCE)),
-            "lang": extension(path),
-            "multiplicity": docker.cast("int") + source.cast("int"),
-        }
-    )
+    return {
+        "kind": F.when(docker, F.lit(DOCKER)).when(source, F.lit(SOURCE)),
+        "lang": extension(path),
+        "multiplicity": docker.cast("int") + source.cast("int"),
+    }
 
 
 def oversize_files(files: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
@@ -133,11 +146,26 @@ def env_sources(env_files: DataFrame, max_line_bytes: int | None = None) -> Data
     )
 
 
-def env_status(env_files: DataFrame, max_line_bytes: int | None = None) -> DataFrame:
-    """Per project: how many env files can be read."""
+def project_counts(
+    counted: DataFrame, env_files: DataFrame, max_line_bytes: int | None = None
+) -> DataFrame:
+    """Rows of ``project, files_scanned, unlistable, readable_env_files`` to be summed up:
+    one for each of ``counted_files`` and each env file."""
+    none = F.lit(0).cast("long")
+    files = counted.select(
+        "project",
+        F.col("multiplicity").cast("long").alias("files_scanned"),
+        F.col("unlistable").cast("long").alias("unlistable"),
+        none.alias("readable_env_files"),
+    )
     readable = failure(F.col("content"), max_line_bytes).isNull()
-    return env_files.groupBy("project").agg(
-        F.sum(readable.cast("long")).alias("readable_env_files")
+    return files.unionByName(
+        env_files.select(
+            "project",
+            none.alias("files_scanned"),
+            none.alias("unlistable"),
+            readable.cast("long").alias("readable_env_files"),
+        )
     )
 
 

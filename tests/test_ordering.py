@@ -7,6 +7,7 @@ from helpers import rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from envtally.operators import ordering
 from envtally.operators.ordering import with_position
 
 
@@ -33,18 +34,67 @@ def test_ties_get_distinct_positions(skewed):
     )
 
 
-def test_a_hot_group_is_spread_over_tasks(spark, skewed):
-    from envtally.operators import ordering
+def slices_of(spark, n):
+    """Sets the number of slices for a test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    return before
 
-    seen = []
-    original, ordering.pin = ordering.pin, lambda df: seen.append(df) or original(df)
+
+@pytest.mark.parametrize("slices", ["1", "3", "100"])
+def test_slices_are_even_and_spread_a_hot_group(spark, skewed, slices):
+    before = slices_of(spark, slices)
+    try:
+        sliced = ordering.with_slice(skewed, ["g", "k", "n"])
+        sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+        ranges = sliced.groupBy("_slice").agg(F.min(F.struct("g", "k", "n")), F.max(F.struct("g", "k", "n"))).orderBy("_slice").collect()
+    finally:
+        slices_of(spark, before)
+    assert len(sizes) == int(slices) and max(sizes) < 3 * 3000 / int(slices) + 1
+    assert all(a[2] < b[1] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_a_poor_sample_gives_the_same_positions(spark, skewed):
+    """Cut points from other keys, or from none, are as right."""
+    window = Window.partitionBy("g").orderBy("k", "n")
+    wanted = rows(skewed.withColumn("pos", F.row_number().over(window)))
+    for sampled in (skewed.where("k > 800"), skewed.limit(0)):
+        assert rows(with_position(skewed, ("g",), ("k", "n"), "pos", sampled)) == wanted
+
+
+def test_nothing_runs_or_is_written_before_the_result_does(spark, skewed):
+    tracker = spark.sparkContext.statusTracker()
+    before = list(tracker.getJobIdsForGroup(None))
+    got = with_position(skewed, ("g",), ("k", "n"), "pos")
+    assert list(tracker.getJobIdsForGroup(None)) == before
+
+
+@pytest.mark.parametrize("slices", ["1", "4", "60"])
+def test_items_and_parts_are_those_of_windows(spark, slices):
+    """A group and an item that span many slices, items without parts, small groups."""
+    rng = random.Random(8)
+    data = []
+    for n in range(150):
+        group = "hot" if n % 2 else f"g{rng.randint(0, 20)}"
+        item = f"v{n:03}"
+        data.append((group, item, False, "", 0))
+        count = 900 if n == 51 else rng.choice([0, 0, 1, 2, 9])
+        data += [(group, item, True, f"p{rng.randint(0, 9)}", m) for m in range(count)]
+    df = spark.createDataFrame(data, "g string, v string, is_part boolean, key string, line int").repartition(5, "line")
+    in_group = Window.partitionBy("g").orderBy("v", "is_part", "key", "line").rowsBetween(Window.unboundedPreceding, 0)
+    in_item = Window.partitionBy("g", "v").orderBy("is_part", "key", "line").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = df.withColumn("item", F.sum((~F.col("is_part")).cast("long")).over(in_group)).withColumn(
+        "part", F.sum(F.col("is_part").cast("long")).over(in_item)
+    )
+    before = slices_of(spark, slices)
     try:
-        with_position(skewed, ("g",), ("k", "n"), "pos").collect()
+        for sampled in (None, df.where("NOT is_part"), df.where("v = 'v051'")):
+            got = ordering.with_item_and_part(df, ("g",), "v", ("key", "line"), sampled)
+            assert rows(got) == rows(wanted)
     finally:
-        ordering.pin = original
-    sizes = [r["count"] for r in seen[0].groupBy("_slice").count().collect()]
-    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert max(sizes) < 1000  # less than the hot group
+        slices_of(spark, before)
+    empty = ordering.with_item_and_part(df.limit(0), ("g",), "v", ("key", "line"))
+    assert empty.collect() == []
 
 
 def test_no_rows(spark):
