@@ -17,7 +17,9 @@ WITH r AS (
   FROM p
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IS NOT NULL THEN CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' ELSE 'allow' END
+    WHEN host LIKE '%spam-____.%' AND path LIKE '/%' OR host LIKE '%cheap-%.example.%' OR host LIKE 'ads-%' AND path LIKE '/__/%' THEN 'block'
+    ELSE 'allow' END AS verdict
 FROM j
 """
 

@@ -56,7 +56,7 @@ def _mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), globs=url_filter.GLOBS)
 
 
 def _simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,15 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 DEFAULT = "allow"
+#: What the query asks of urls that no rule fits: hosts named like link farms, sellers and ad
+#: servers. (verdict, pattern over host, tab, path)
+GLOBS = (
+    ("block", "*spam-????.*\t/*"),
+    ("block", "*cheap-*.example.*\t*"),
+    ("block", "ads-*\t/??/*"),
+)
+#: Between host and path. Neither can hold it, so that no ``*`` reaches over it.
+SEPARATOR = "#"
 _ROWS_AT_ONCE = 4096
 _BITS = 64
 
@@ -102,8 +111,8 @@ def rule_globs(rules: Sequence[tuple[str, str, str]]) -> list[tuple[int, str]]:
     """Rule number and pattern: each rule's host itself, and any subdomain of it."""
     out = []
     for number, (_, host, path) in enumerate(rules):
-        out.append((number, f"{escaped(host)}\t{escaped(path)}*"))
-        out.append((number, f"*.{escaped(host)}\t{escaped(path)}*"))
+        out.append((number, f"{escaped(host)}{SEPARATOR}{escaped(path)}*"))
+        out.append((number, f"*.{escaped(host)}{SEPARATOR}{escaped(path)}*"))
     return out
 
 
@@ -136,9 +145,10 @@ def judge(
 
     Of the rules that fit, the longest (host and path) wins, of equally long ones the first
     in code point order. Where none fits, ``rule`` is null and the first of ``globs``
-    (verdict, pattern over host, tab, path) that matches decides, else ``default``. A null
-    or empty url has an empty host, which no rule fits. Repeated rows repeat, a null page_id
-    stays null, other columns are not read.
+    (verdict, pattern over host, tab, path) that matches decides, else ``default``. Further
+    tabs of a pattern, and those of a url, are characters like others. A null or empty url has
+    an empty host, which no rule fits. Urls of any length are matched whole. Repeated rows
+    repeat, a null page_id stays null, no rows give no rows, other columns are not read.
     """
     named = sorted(
         ((verdict, host, path, host + path) for verdict, host, path in rules),
@@ -148,7 +158,7 @@ def judge(
     owner = [number for number, _ in patterns] + [len(named) + i for i in range(len(globs))]
     names = [r[3] for r in named] + [None] * (len(globs) + 1)
     verdicts = [r[0] for r in named] + [v for v, _ in globs] + [default]
-    all_patterns = [p for _, p in patterns] + [p for _, p in globs]
+    all_patterns = [p for _, p in patterns] + [p.replace("\t", SEPARATOR, 1) for _, p in globs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Globs(all_patterns)
@@ -158,7 +168,7 @@ def judge(
             for at in range(0, len(batch), _ROWS_AT_ONCE):
                 part = batch.slice(at, _ROWS_AT_ONCE)
                 hosts, paths = part.column(1).to_pylist(), part.column(2).to_pylist()
-                matched = automaton.matches([f"{h}\t{p}" for h, p in zip(hosts, paths)])
+                matched = automaton.matches([f"{h}{SEPARATOR}{p}" for h, p in zip(hosts, paths)])
                 always = np.ones((len(part), 1), bool)
                 first = winner[np.hstack([matched, always]).argmax(axis=1)].tolist()
                 yield pa.RecordBatch.from_arrays(

@@ -54,3 +54,25 @@ def test_globs_decide_where_no_rule_fits(spark):
     pages = spark.createDataFrame([(1, "http://a.io/x.exe"), (2, "http://a.io/ok"), (3, "http://x.org/fr/a.exe")], "page_id long, url string")
     got = url_filter.judge(pages, globs=[("block", "*\t*.exe")]).select("page_id", "rule", "verdict").collect()
     assert sorted(map(tuple, got)) == [(1, None, "block"), (2, None, "allow"), (3, "org/fr/", "allow")]
+
+
+def test_a_tab_is_no_border(spark):
+    """No rule or glob takes a part of the path for the host, or a tab for what divides them."""
+    urls = ["http://a.com/x.net\t/y", "http://a.com\t/x.net/", "http://b.net\t/", "http://a.io/x\ty.exe", "http://a\tio/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, globs=[("block", "*\t*\t?.exe"), ("block", "a\t*")]).orderBy("page_id").collect()
+    assert [(r.rule, r.verdict) for r in got] == [(brute(u)[2], brute(u)[3] if i != 3 else "block") for i, u in enumerate(urls)]
+    assert [r.rule for r in got] == [None] * 5
+
+
+def test_the_globs_of_the_query(spark):
+    """Inner ``*`` and ``?`` decide, and only where no rule fits."""
+    urls = {
+        "http://spam-farm.example.org/en/1": "block", "http://www.spam-farm.io/": "block", "http://spam-farms.io/": "allow",
+        "http://spam-farm.io": "allow", "http://spam-farm.example.org/fr/1": "allow", "http://cheap-pills.example.com?x": "block",
+        "http://cheap-pills.io/": "allow", "http://ads-track.example.org/en/7": "block", "http://ads-track.example.org/eng/7": "allow",
+        "http://x.ads-track.org/en/7": "allow", "http://cheap-x.example.net/en/": "allow",
+    }
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages, globs=url_filter.GLOBS).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == list(urls.values())
