@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from envtally.functions.json import json_location, json_string
@@ -314,9 +314,10 @@ _FORMATS = {
 
 
 def write_reports(result: ScanResult, path: str, format: str = "text", mode: str = "error") -> None:
-    """Write one report per project below ``path/project=<name>``.
+    """Write one report per project below ``path/project=<name>``, and a manifest of its files.
 
-    Read the files of a project in name order: a large report spans several of them.
+    A large report spans several files; the manifest, a table beside ``path``, says in which
+    order (``read_manifest``).
     """
     if format not in _FORMATS:
         raise ValueError(f"invalid format {format!r}: must be one of {', '.join(_FORMATS)}")
@@ -330,3 +331,29 @@ def write_reports(result: ScanResult, path: str, format: str = "text", mode: str
         .partitionBy("project")
         .text(path)
     )
+    _write_manifest(result.files.sparkSession, path)
+
+
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}.manifest"
+
+
+def _write_manifest(spark: SparkSession, path: str) -> None:
+    """List the files below ``path``. They hold ranges of lines, in the order of their names.
+
+    Only names and sizes are read, no texts.
+    """
+    kind = "path string, modificationTime timestamp, length bigint, content binary, project string"
+    files = spark.read.format("binaryFile").schema(kind).option("pathGlobFilter", "part-*").load(path)
+    named = files.select("project", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("bytes"))
+    part = F.row_number().over(Window.partitionBy("project").orderBy("file_name"))
+    named.select("project", part.alias("part"), "file_name", "bytes").write.mode("overwrite").parquet(_manifest(path))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``project, part, file_name, bytes`` of the reports that were written to ``path``.
+
+    The texts of a project's files, one after the other by part, are its report. There are as
+    many rows per project as tasks wrote parts of it.
+    """
+    return spark.read.parquet(_manifest(path))

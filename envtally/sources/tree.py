@@ -75,19 +75,33 @@ def _listing(ignore: Sequence[str], roots: bool):
     return list_directories
 
 
-def _reading(columns: Sequence[str]):
-    """A task that adds the bytes of each ``path``; NULL where the file cannot be read."""
+def _read(path: bytes, max_bytes: int | None) -> bytes | None:
+    """The bytes of a file; None where it cannot be read, is too large or its path is relative.
+
+    A relative path would mean another file on each machine.
+    """
+    if not os.path.isabs(path):
+        return None
+    try:
+        with open(path, "rb") as file:
+            if max_bytes is None:
+                return file.read()
+            # One more than allowed tells without a look at a size that may have changed.
+            content = file.read(max_bytes + 1)
+    except OSError:
+        return None
+    return content if len(content) <= max_bytes else None
+
+
+def _reading(columns: Sequence[str], max_bytes: int | None):
+    """A task that adds what ``_read`` has of each ``path``."""
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
             for row in batch[list(columns)].itertuples(index=False):
-                try:
-                    with open(bytes(row.path), "rb") as file:
-                        content = file.read()
-                except OSError:
-                    content = None
+                content = _read(bytes(row.path), max_bytes)
                 rows.append((*row, content))
                 held += len(content or b"")
                 if held >= _BATCH_BYTES:
@@ -104,6 +118,7 @@ def load_tree(
     roots: Mapping[str, str] | DataFrame,
     ignore: str | Iterable[str] = (),
     extensions: Iterable[str] = DEFAULT_PATTERNS,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """The candidate files below the root of each project, as a ``files`` table.
 
@@ -111,7 +126,9 @@ def load_tree(
     the root joined with the relative path. A root that is a symbolic link, or whose own name
     is ignored, has no files. A directory that cannot be listed, a missing root for one, is a
     row that is ``unlistable``: its project cannot be audited, the others can. Files are dealt
-    out to tasks by number, about 64 MiB each, whatever directory they are in.
+    out to tasks by number, about 64 MiB each, whatever directory they are in. A file of more
+    than ``max_file_bytes`` is one that cannot be read: no text, and a warning of a scan; by
+    default files are of any size.
     """
     names = [*DEFAULT_IGNORE, *parse_ignore(ignore)]
     if isinstance(roots, DataFrame):
@@ -149,7 +166,7 @@ def load_tree(
         files.select(*columns)
         .repartition(tasks, "path")
         .mapInPandas(
-            _reading(columns),
+            _reading(columns, max_file_bytes),
             "project string, root string, path binary, unlistable boolean, content binary",
         )
         .select(
@@ -164,15 +181,22 @@ def load_tree(
 
 
 def load_env_files(
-    spark: SparkSession, env_files: Mapping[str, Sequence[str]] | DataFrame
+    spark: SparkSession,
+    env_files: Mapping[str, Sequence[str]] | DataFrame,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """The env files of each project, in order, as an ``env_files`` table.
 
-    ``env_files`` is a mapping, or a table of project, ordinal and env_path.
+    ``env_files`` is a mapping, or a table of project, ordinal and env_path. Paths are
+    absolute: a relative one in a mapping is an error, in a table an env file that cannot be
+    read, as is one of more than ``max_file_bytes``.
     """
     if isinstance(env_files, DataFrame):
         table = env_files.select("project", "ordinal", F.col("env_path").cast("binary").alias("path"))
     else:
+        relative = [path for paths in env_files.values() for path in paths if not os.path.isabs(path)]
+        if relative:
+            raise ValueError(f"env files must have absolute paths: {relative[:5]}")
         listed = [
             (project, ordinal, os.fsencode(path))
             for project, paths in env_files.items()
@@ -182,7 +206,7 @@ def load_env_files(
     columns = ["project", "ordinal", "path"]
     return (
         table.repartition(spark.sparkContext.defaultParallelism, "path")
-        .mapInPandas(_reading(columns), "project string, ordinal int, path binary, content binary")
+        .mapInPandas(_reading(columns, max_file_bytes), "project string, ordinal int, path binary, content binary")
         .select(
             "project",
             "ordinal",

@@ -1,0 +1,30 @@
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SCRIPT = """
+import sys, warnings
+hidden = sys.argv[1]
+if hidden:
+    sys.modules[hidden] = None  # its import now fails as if it were not installed
+with warnings.catch_warnings(record=True) as said:
+    warnings.simplefilter("always")
+    import __spark_entry__ as entry
+    names, sql = set(entry.queries()), set(entry.oracle_sql())
+own = set(entry.own_queries())
+print(len(own), own <= names, own <= sql, len(names - own), [str(w.message) for w in said if "envtally" in str(w.message)])
+"""
+
+
+@pytest.mark.parametrize("hidden", ["sentencepiece", "xxhash", "envtally.llm", "corpus_pipeline"])
+def test_the_audit_is_there_without_optional_packages(hidden):
+    run = subprocess.run([sys.executable, "-c", SCRIPT, hidden], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    warned = [] if hidden in ("envtally.llm", "corpus_pipeline") else [f"no queries of envtally.llm: there is no module {hidden}"]
+    # queries() and oracle_sql() each say it.
+    assert run.stdout.strip() == f"41 True True 0 {warned * 2}"

@@ -308,3 +308,57 @@ def test_write_reports(spark, tmp_path):
         reports.write_reports(result, str(tmp_path / "xml"), "xml")
     with pytest.raises(Exception, match="exist"):
         reports.write_reports(result, str(tmp_path / "text"), "text")
+
+
+def test_reports_are_put_together_from_the_manifest(spark, tmp_path):
+    """A report of several files, one of a single file, and a name that looks like a number."""
+    files = files_of(spark, {f"{n}.js": f"process.env.V{n}" for n in range(400)}, project="big")
+    files = files.unionByName(files_of(spark, {"a.js": "process.env.A"}, project="007"))
+    env = env_files_of(spark, {".env": "X=1"}, project="big").unionByName(env_files_of(spark, {".env": ""}, project="007"))
+    result = scan(files, env).pinned()
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for kind in ("json", "sarif"):
+            path = str(tmp_path / kind)
+            reports.write_reports(result, path, kind)
+            listed = reports.read_manifest(spark, path).orderBy("project", "part").collect()
+            texts = defaultdict(str)
+            for row in listed:
+                part = tmp_path / kind / f"project={row.project}" / row.file_name
+                assert part.stat().st_size == row.bytes
+                texts[row.project] += part.read_text()
+            assert set(texts) == {"big", "007"} and len(listed) > 3
+            documents = {project: json.loads(text) for project, text in texts.items()}
+            if kind == "json":
+                assert len(documents["big"]["missing"]) == 400 and len(documents["007"]["missing"]) == 1
+            else:
+                assert len(documents["big"]["runs"][0]["results"]) == 801
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_options_of_scans_do_not_mix(spark):
+    """Expressions are built once for equal options only."""
+    files = files_of(spark, {"a.js": "process.env.A\n" + "x" * 70000, "gen/b.js": "process.env.B", "c.rb": "ENV['C']"})
+    env = env_files_of(spark, {".env": ""})
+    ruby = {**DEFAULT_PATTERNS, ".rb": [r"ENV\['([A-Z_]+)'\]"]}
+
+    def used(**options):
+        return {r[0] for r in rows(scan(files, env, **options).findings, "variable")}
+
+    for _ in range(2):
+        assert used() == {"A", "B"}
+        assert used(ignore="gen") == {"A"}
+        assert used(max_line_bytes=65536) == {"B"}
+        assert used(patterns=ruby) == {"A", "B", "C"}
+
+
+def test_counts_come_with_the_variables(spark):
+    """The gate needs two shuffles, whatever it counts."""
+    files = files_of(spark, {"a.js": "process.env.A", "b/readme.md": ""})
+    gate = scan(files, env_files_of(spark, {".env": "A=1"})).gate
+    assert rows(gate) == [("p", 0)]
+    plan = gate._jdf.queryExecution().sparkPlan().toString()
+    executed = gate._jdf.queryExecution().executedPlan().toString()
+    assert executed.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 2 and "Join" not in plan

@@ -105,3 +105,30 @@ def test_env_files_keep_their_order(spark, tree):
     (tree / "b.env").write_text("Q=2")
     env = load_env_files(spark, {"p": [f"{tree}/b.env", f"{tree}/app/.env"]})
     assert rows(env, "ordinal", "env_path", "content") == [(0, f"{tree}/b.env", "Q=2"), (1, f"{tree}/app/.env", "Q=1\n")]
+
+
+def test_relative_env_paths(spark, tree):
+    with pytest.raises(ValueError, match="absolute"):
+        load_env_files(spark, {"p": [f"{tree}/app/.env", "app/.env"]})
+    names = spark.createDataFrame([("p", 0, "app/.env"), ("q", 0, f"{tree}/app/.env")], "project string, ordinal int, env_path string")
+    env = load_env_files(spark, names)
+    assert rows(env, "project", "content") == [("p", None), ("q", "Q=1\n")]
+    before = os.getcwd()
+    os.chdir(tree)  # even where the path would be found
+    try:
+        result = scan(load_tree(spark, {"p": f"{tree}/app", "q": f"{tree}/app"}), load_env_files(spark, names))
+        assert rows(result.gate) == [("p", 2), ("q", 1)]
+        assert rows(result.warnings) == [("p", "app/.env", "env", "unreadable")]
+    finally:
+        os.chdir(before)
+
+
+def test_a_size_limit_at_load(spark, tree):
+    """A file above the limit has no text and causes a warning; one of just that size is read."""
+    size = len(b"process.env.Y\r\n")
+    files = load_tree(spark, {"p": f"{tree}/app"}, max_file_bytes=size)
+    env = load_env_files(spark, {"p": [f"{tree}/app/.env"]}, max_file_bytes=size)
+    result = scan(files, env)
+    assert rows(result.warnings, "path", "stage", "reason") == [(f"{tree}/app/sub/deep/m.py", "source", "unreadable")]
+    assert ("ENV002", "Y") in rows(result.findings, "rule_id", "variable")
+    assert rows(load_env_files(spark, {"p": [f"{tree}/app/.env"]}, max_file_bytes=3), "content") == [(None,)]
