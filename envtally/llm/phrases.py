@@ -30,9 +30,9 @@ MIN_COUNT = 30
 COVER_PERCENT = 80
 TOP = 2000
 #: Words whose suffixes become one run.
-RUN_WORDS = 1 << 21
+RUN_WORDS = 1 << 20
 #: The memory budget of a group, in leaves of its runs (some 100 bytes each while it is built).
-GROUP_LEAVES = 1 << 22
+GROUP_LEAVES = 1 << 21
 #: A prefix of more than this part of the budget is extended. At most MOST_EXTENDED of a
 #: length are, because all others together have fewer leaves; so they can be broadcast.
 PREFIX_PART = 8
