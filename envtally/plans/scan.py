@@ -29,8 +29,9 @@ class ScanResult:
     """Lazy results of one audit.
 
     ``files`` has every file with the number of times a scan counts it. ``facts`` are
-    ``extract_facts`` of all texts, ``folded`` what ``reconcile`` makes of them and of the
-    counts of the projects. Unless they are pinned, each result reads the texts anew.
+    ``extract_facts`` of all texts, ``folded`` what ``reconcile`` makes of them and, if
+    ``counts_folded``, of the counts of the projects. Unless they are pinned, each result
+    reads the texts anew.
     """
 
     files: DataFrame
@@ -39,6 +40,7 @@ class ScanResult:
     folded: DataFrame
     extensions: tuple[str, ...]
     max_line_bytes: int | None
+    counts_folded: bool = True
     facts_pinned: bool = False
     pairs_pinned: bool = False
 
@@ -47,8 +49,7 @@ class ScanResult:
         if self.facts_pinned:
             return self.with_pinned_pairs()
         facts = pin(self.facts)
-        counts = project_counts(self.files, self.env_files, self.max_line_bytes)
-        pinned = replace(self, facts=facts, folded=reconcile(facts, counts), facts_pinned=True)
+        pinned = replace(self, facts=facts, folded=reconcile(facts), counts_folded=False, facts_pinned=True)
         return pinned.with_pinned_pairs()
 
     def with_pinned_pairs(self) -> ScanResult:
@@ -104,9 +105,15 @@ class ScanResult:
             "readable_env_files": F.col("readable_env_files"),
             "unlistable": F.col("unlistable"),
         }
-        totals = self.folded.groupBy("project").agg(
+        folded = self.folded
+        if not self.counts_folded:
+            counts = project_counts(self.files, self.env_files, self.max_line_bytes)
+            folded = folded.unionByName(counts, allowMissingColumns=True)
+        totals = folded.groupBy("project").agg(
             *[F.coalesce(F.sum(m), F.lit(0).cast("long")).alias(name) for name, m in measures.items()]
         ).withColumn("mismatches_found", reduce(Column.__add__, map(F.col, rules)))
+        if not self.counts_folded:
+            return pin(totals)
         # Every part of a report needs them, from one exchange.
         return whole(totals) if self.pairs_pinned else totals
 
