@@ -6,12 +6,13 @@ each with a forest of its own. There they are scaled into the unit ball by the l
 of the band and lifted onto the sphere by one more component, so that the angle to a query
 orders them by inner product.
 
-A query first looks into its own cells of some trees of every band. The 20th best score so
-far bounds the angle of what is still to be found. From the angle follow the level, that is
-the length of prefix, and the number of trees in which a vector at that angle shares the
-prefix with probability FOUND at least, whatever the number of vectors. The query then
-ascends to that level, in all cells that its prefix covers. A band whose norms are too small
-for the score is left out.
+A query first descends in every tree to its place in the array, next to which are the vectors
+that share the longest prefixes with it, and scores those. The 20th best score so far bounds the angle of what is still to be found.
+From the angle follows how far all trees must ascend together, until a vector at that angle
+shares the prefix of one of them with probability FOUND at least, whatever the number of
+vectors. As trees ascend one after the other within a level, the first ones can end a level
+above the others. What the prefix covers is then scored, in all its cells. A band whose norms
+are too small for the score is left out. The same is done for tables of any size.
 
 The arrays are cut into cells at quantiles of a bounded sample. The vectors of each cell are
 scored against blocks of the queries that look into it.
@@ -31,12 +32,10 @@ from envtally.llm.storage import written
 TREES = 24
 BITS = 64
 NEIGHBOURS = 20
-#: Candidates over all trees in the first look at a band, per root of its vectors.
-BUDGET = 180
+#: Vectors of a band that the descents of all trees meet, per root of its vectors.
+BUDGET = 8
 #: Least probability that the ascent meets a vector as near as the last neighbour so far.
-FOUND = 0.95
-#: Least trees of an ascent that does not go to the root: fewer hang on single hyperplanes.
-LEAST_TREES = 4
+FOUND = 0.9
 #: Bands of norms per doubling.
 BANDS = 2
 #: Least queries of a block, and queries per root of the vectors of a band.
@@ -151,28 +150,56 @@ def _with_norm(points: DataFrame) -> DataFrame:
     return points.mapInArrow(run, "rep long, ids array<long>, vec binary, dim int, norm double, band int")
 
 
+def _cells(n: int) -> int:
+    """Cells of a tree over ``n`` vectors."""
+    return min(MOST_CELLS, max(1, int(n // max(CELL, CELL_PER_ROOT * n**0.5))))
+
+
 def _cuts(points: DataFrame, sizes: list) -> dict[tuple[int, int], tuple]:
     """(dim, band) -> largest norm, number of vectors, for each tree the cuts between pieces.
 
-    Cuts are (hash, rep): vectors of equal hashes can lie in different pieces. The sample is
-    at most about SAMPLED * PIECES * MOST_CELLS vectors of each band.
+    Cuts are (hash, rep): vectors of equal hashes can lie in different pieces. The driver gets
+    the hashes, not the vectors, of about SAMPLED * PIECES * MOST_CELLS vectors of a band at
+    most: 200 bytes each, whatever their length.
     """
+    known = {(dim, band): (norm, min(1.0, SAMPLED * PIECES * _cells(n) / n)) for dim, band, n, norm in sizes if _cells(n) > 1}
+    found: dict[tuple[int, int], list] = {}
+    if known:
+        shared = points.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            planes = {}
+            for part, dim in _parts(batches):
+                bands, drawn = part.column(4).to_numpy(), part.column(5).to_numpy()
+                for band in np.unique(bands).tolist():
+                    if (dim, band) not in shared.value:
+                        continue
+                    norm, rate = shared.value[dim, band]
+                    own = part.take(pa.array(np.flatnonzero((bands == band) & (drawn < int(rate * (1 << 30))))))
+                    if not own.num_rows:
+                        continue
+                    if dim not in planes:
+                        planes[dim] = hyperplanes(dim)
+                    packed = [h.tobytes() for h in hashes(_vectors(own.column(2), dim), norm, False, planes[dim])]
+                    columns = [own.column(3), own.column(4), own.column(0), pa.array(packed, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["dim", "band", "rep", "hashes"])
+
+        drawn = F.pmod(F.xxhash64("rep", F.lit("cells")), F.lit(1 << 30)).alias("drawn")
+        sample = points.select("rep", "ids", "vec", "dim", "band", drawn)
+        for row in sample.mapInArrow(run, "dim int, band int, rep long, hashes binary").collect():
+            found.setdefault((row["dim"], row["band"]), []).append((row["rep"], bytes(row["hashes"])))
     out = {}
     for dim, band, n, norm in sizes:
-        cells = min(MOST_CELLS, max(1, int(n // max(CELL, CELL_PER_ROOT * n**0.5))))
         cuts = None
-        if cells > 1:
-            rate = min(1.0, SAMPLED * PIECES * cells / n)
-            drawn = F.pmod(F.xxhash64("rep", F.lit("cells")), F.lit(1 << 30)) < int(rate * (1 << 30))
-            sample = points.where((F.col("dim") == dim) & (F.col("band") == band) & drawn).select("rep", "vec").orderBy("rep").collect()
-            vectors = np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), np.float64).reshape(-1, dim)
-            found = hashes(vectors, norm, False, hyperplanes(dim))
-            reps = np.array([r["rep"] for r in sample])
+        if sample := sorted(found.get((dim, band), [])):
+            reps = np.array([rep for rep, _ in sample])
+            own = np.frombuffer(b"".join(h for _, h in sample), np.uint64).reshape(-1, TREES)
+            cells = _cells(n)
             at = np.arange(1, PIECES * cells) * len(sample) // (PIECES * cells)
             cuts = []
             for tree in range(TREES):
-                order = np.lexsort((reps, found[:, tree]))
-                cuts.append((found[order[at], tree], reps[order[at]]))
+                order = np.lexsort((reps, own[:, tree]))
+                cuts.append((own[order[at], tree], reps[order[at]]))
         out[dim, band] = (norm, n, cuts)
     return out
 
@@ -195,31 +222,41 @@ def _ranges(found: np.ndarray, asked: np.ndarray, level) -> tuple[np.ndarray, np
     return np.searchsorted(found, asked & ~mask, "left"), np.searchsorted(found, asked | mask, "right")
 
 
-def ascent(cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trees and level at which a vector of that cosine or more is met with FOUND at least.
+def _descent(found: np.ndarray, asked: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes, the range of ``most`` around the place of each asked for.
+
+    Next to that place are those that share the longest prefixes with it, of any length.
+    """
+    place, half = np.searchsorted(found, asked, "left"), (most + 1) // 2
+    return np.maximum(place - half, 0), np.minimum(place + half, len(found))
+
+
+def ascent(cosine: np.ndarray) -> np.ndarray:
+    """Levels, a column per tree, that meet a vector of that cosine or more with FOUND at least.
 
-    Of all such pairs it is that with the least trees * 2 ** -level; level 0 of one tree
-    meets every vector.
+    All trees are at one level, but for the first ones, which can be one above. The root of
+    the first tree meets every vector; then the others are left out (-1).
     """
     sharing = 1.0 - np.arccos(np.clip(cosine, -1.0, 1.0)) / np.pi
-    trees, levels = np.ones(len(cosine), np.int64), np.zeros(len(cosine), np.int64)
-    cost = np.ones(len(cosine))
-    with np.errstate(divide="ignore"):
+    least = 1.0 - (1.0 - FOUND) ** (1.0 / TREES)
+    with np.errstate(divide="ignore", invalid="ignore"):
         logs = np.log(sharing)
-    for n in range(LEAST_TREES, TREES + 1):
-        least = np.log(1.0 - (1.0 - FOUND) ** (1.0 / n))
-        level = np.where(logs < 0, np.floor(least / np.minimum(logs, -1e-300)), BITS)
-        level = np.minimum(level, BITS).astype(np.int64)
-        better = n * 0.5**level < cost
-        trees[better], levels[better], cost[better] = n, level[better], (n * 0.5**level)[better]
-    return trees, levels
+        upper = np.where(logs < 0, np.floor(np.log(least) / np.minimum(logs, -1e-300)), BITS)
+        upper = np.minimum(upper, BITS).astype(np.int64)
+        missed, deeper = np.log1p(-(sharing**upper)), np.log1p(-(sharing ** (upper + 1)))
+        above = np.ceil((np.log(1.0 - FOUND) - TREES * deeper) / (missed - deeper))
+    above = np.where(upper == BITS, TREES, np.clip(np.nan_to_num(above, nan=TREES), 1, TREES))
+    levels = upper[:, None] + (np.arange(TREES) >= above[:, None])
+    root = upper == 0
+    levels[root, 0], levels[root, 1:] = 0, -1
+    return levels
 
 
 def _looks(index: dict, dim: int, values: np.ndarray, reps: np.ndarray, least, planes) -> Iterator[tuple]:
     """``band, tree, at, cells, level, hash`` of what queries look into; at are their rows.
 
-    Without ``least`` it is the first look. Else that is the score of the last neighbour so
-    far, and what the first look saw whole is left out.
+    Without ``least`` it is the descent, and level is less than 0: the negative number of
+    vectors to meet in a cell. Else least is the score of the last neighbour so far.
     """
     found = hashes(values, 1.0, True, planes)
     norms = _norms(values)
@@ -227,18 +264,17 @@ def _looks(index: dict, dim: int, values: np.ndarray, reps: np.ndarray, least, p
         if own != dim:
             continue
         if least is None:
-            cells = len(cuts[0][0]) // PIECES + 1 if cuts else 1
-            trees = np.full(len(reps), min(TREES, int(np.ceil(BUDGET * n**0.5 * cells / n))) if cuts else 1)
-            levels = np.zeros(len(reps), np.int64)
-        elif not cuts:
-            continue
+            levels = np.full((len(reps), TREES), -int(np.ceil(BUDGET * n**0.5 / TREES)))
+            asking = np.ones(levels.shape, bool)
         else:
             cosine = least / (norms * norm)
-            trees, levels = ascent(cosine)
-            trees[cosine > 1 + 1e-9] = 0
-        for tree in range(trees.max(initial=0)):
-            at = np.flatnonzero(trees > tree)
-            hash_, level = found[at, tree], levels[at]
+            levels = ascent(cosine)
+            asking = (levels >= 0) & (cosine <= 1 + 1e-9)[:, None]
+        for tree in range(TREES):
+            at = np.flatnonzero(asking[:, tree])
+            if not len(at):
+                continue
+            hash_, level = found[at, tree], levels[at, tree]
             if not cuts:
                 yield band, tree, at, np.zeros(len(at), np.int64), level, hash_
                 continue
@@ -365,26 +401,44 @@ def _placed(points: DataFrame, index: dict, first: bool) -> DataFrame:
     return points.select("rep", "ids", "vec", "dim", "band", "ask").mapInArrow(run, schema)
 
 
+_GROUP = ("dim", "band", "tree", "cell", "block")
+
+
 def _unsigned(column) -> np.ndarray:
     return column.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
 
 
+def _met(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of a block: rows of its points by hash, rows of queries, the range of points that each meets."""
+    query = table.column("query").to_numpy()
+    hash_, level = _unsigned(table.column("hash")), table.column("level").to_numpy()
+    items, asked = np.flatnonzero(~query), np.flatnonzero(query)
+    items = items[np.argsort(hash_[items], kind="stable")]
+    level = level[asked]
+    descends = len(level) > 0 and level[0] < 0
+    low, high = _descent(hash_[items], hash_[asked], -level) if descends else _ranges(hash_[items], hash_[asked], level)
+    return items, asked, low, high
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """For each query in a block, the number of points that it is scored against."""
+    _, asked, low, high = _met(table)
+    return pa.table({"rep": table.column("rep").take(pa.array(asked)), "scored": pa.array(high - low, pa.int64())})
+
+
 def _score(table: pa.Table) -> pa.Table:
-    """For each query in a block, the best vec_ids of the points that share its level.
+    """For each query in a block, the best vec_ids of the points that it meets.
 
     Those below the score of its last neighbour so far cannot be in the result.
     """
     table = table.combine_chunks()
     dim = table.column("dim")[0].as_py()
-    query = table.column("query").to_numpy()
-    hash_, reps = _unsigned(table.column("hash")), table.column("rep").to_numpy()
+    reps = table.column("rep").to_numpy()
     vectors = _vectors(table.column("vec").combine_chunks(), dim)
-    items, asked = np.flatnonzero(~query), np.flatnonzero(query)
-    items = items[np.argsort(hash_[items], kind="stable")]
+    items, asked, low, high = _met(table)
     points, own_reps = vectors[items], reps[items]
     ids = table.column("ids").take(pa.array(items)).to_pylist()
     bounds = table.column("least").to_numpy()
-    low, high = _ranges(hash_[items], hash_[asked], table.column("level").to_numpy()[asked])
     most = NEIGHBOURS + 1
     out_query, out_id, out_score = [], [], []
     # Queries of one range are scored together.
@@ -425,12 +479,16 @@ def _score(table: pa.Table) -> pa.Table:
 
 def _best(points: DataFrame, index: dict, first: bool) -> DataFrame:
     """``rep, vec_id, score`` of the best in each cell that a query looks into."""
-    group = ("dim", "band", "tree", "cell", "block")
-    return _placed(points, index, first).groupBy(*group).applyInArrow(
+    return _placed(points, index, first).groupBy(*_GROUP).applyInArrow(
         _score, "rep long, vec_id long, score double"
     )
 
 
+def _scored(points: DataFrame, index: dict, first: bool) -> DataFrame:
+    """``rep, scored``: vectors that a query is scored against in each cell it looks into."""
+    return _placed(points, index, first).groupBy(*_GROUP).applyInArrow(_count, "rep long, scored long")
+
+
 def _nearest(scored: DataFrame) -> DataFrame:
     """The best of ``rep, vec_id, score`` for each rep, one more than the neighbours."""
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
@@ -443,18 +501,8 @@ def _nearest(scored: DataFrame) -> DataFrame:
     )
 
 
-def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the nearest found of each row divisible by ``every``.
-
-    ``embeddings`` has vec_id and embedding; other columns are not read. Candidates are all
-    rows but the query's own; ties go to the smaller vec_id. Rows whose vec_id is null, or
-    whose vector is null, empty, zero or holds a null or a non-finite component, take no
-    part. Vectors of different lengths have no inner product and never meet. A query with
-    fewer candidates has fewer rows; rows that repeat a vec_id and its vector count once. An
-    empty table gives no rows.
-    """
-    if neighbours > NEIGHBOURS:
-        raise ValueError(f"at most {NEIGHBOURS} neighbours")
+def _asked(embeddings: DataFrame, every: int) -> tuple[DataFrame, DataFrame, dict]:
+    """The distinct vectors; ``query_id, rep`` of the queries; the cells of all trees."""
     rows = _usable(embeddings)
     points = written(_with_norm(distinct_vectors(rows)))
     asked = written(
@@ -464,19 +512,53 @@ def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS)
         .select(F.col("vec_id").alias("query_id"), "rep")
     )
     sizes = points.groupBy("dim", "band").agg(F.count(F.lit(1)), F.max("norm")).collect()
-    if not sizes:
-        return asked.select(
-            "query_id", F.lit(0).alias("rank"), F.col("rep").alias("vec_id"), F.lit(0.0).alias("score")
-        ).limit(0)
-    index = _cuts(points, [tuple(r) for r in sizes])
+    return points, asked, _cuts(points, [tuple(r) for r in sizes])
+
+
+def _looked(points: DataFrame, asked: DataFrame, index: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the descents find; the points with queries marked for the descent, and for the ascent."""
     askers = asked.select("rep").distinct()
-    looked = written(_nearest(_best(points.join(askers.withColumn("ask", F.lit(0.0)), "rep", "left"), index, True)))
+    first = points.join(askers.withColumn("ask", F.lit(0.0)), "rep", "left")
+    looked = written(_nearest(_best(first, index, True)))
     # A query's own row may be among the best, so the last of one more bounds its neighbours.
     least = F.when(F.count(F.lit(1)) > NEIGHBOURS, F.min("score")).otherwise(F.lit(float("-inf")))
     bounds = askers.join(looked.groupBy("rep").agg(least.alias("ask")), "rep", "left").select(
         "rep", F.coalesce("ask", F.lit(float("-inf"))).alias("ask")
     )
-    ascended = _best(written(points.join(bounds, "rep", "left")), index, False)
+    return looked, first, written(points.join(bounds, "rep", "left"))
+
+
+def scored_pairs(embeddings: DataFrame, every: int = 20) -> DataFrame:
+    """``query_id, scored``: the vectors that a search scores for each query, repeats counted.
+
+    Descents and ascents count, and a vector as often as trees meet it. Queries of one vector
+    share what is scored for it. An empty table gives no rows.
+    """
+    points, asked, index = _asked(embeddings, every)
+    _, first, second = _looked(points, asked, index)
+    both = _scored(first, index, True).unionByName(_scored(second, index, False))
+    return asked.join(both.groupBy("rep").agg(F.sum("scored").alias("scored")), "rep").select("query_id", "scored")
+
+
+def search(embeddings: DataFrame, every: int = 20, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the nearest found of each row divisible by ``every``.
+
+    ``embeddings`` has vec_id and embedding; other columns are not read. Candidates are all
+    rows but the query's own; ties go to the smaller vec_id. Rows whose vec_id is null, or
+    whose vector is null, empty, zero or holds a null or a non-finite component, take no
+    part. Vectors of different lengths have no inner product and never meet. A query with
+    fewer candidates has fewer rows; rows that repeat a vec_id and its vector count once. An
+    empty table gives no rows.
+    """
+    if neighbours > NEIGHBOURS:
+        raise ValueError(f"at most {NEIGHBOURS} neighbours")
+    points, asked, index = _asked(embeddings, every)
+    if not index:
+        return asked.select(
+            "query_id", F.lit(0).alias("rank"), F.col("rep").alias("vec_id"), F.lit(0.0).alias("score")
+        ).limit(0)
+    looked, _, second = _looked(points, asked, index)
+    ascended = _best(second, index, False)
     found = _nearest(looked.unionByName(ascended))
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

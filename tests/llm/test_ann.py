@@ -42,10 +42,17 @@ def edge_rows():
     return rows
 
 
-def test_edge_cases_equal_brute_force(spark):
+def test_edge_cases_equal_brute_force(spark, monkeypatch):
+    """With certainty asked for, all trees ascend to their roots, and the result is exact."""
     rows = edge_rows()
-    got = ann.search(table(spark, rows)).collect()
-    same(got, brute(rows))
+    with monkeypatch.context() as m:
+        m.setattr(ann, "FOUND", 1.0)
+        same(ann.search(table(spark, rows)).collect(), brute(rows))
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(table(spark, rows)).collect())
+    expected = brute(rows)
+    assert [f[:2] for f in found] == [e[:2] for e in expected]
+    assert all(f[3] <= e[3] + 1e-12 for f, e in zip(found, expected))
+    assert sum(f[3] == pytest.approx(e[3], abs=1e-12) for f, e in zip(found, expected)) >= 0.9 * len(expected)
     assert ann.search(table(spark, rows).limit(0)).collect() == []
     assert ann.search(table(spark, [(1, [1.0]), (2, [0.0])])).collect() == []
 
@@ -62,7 +69,6 @@ def test_recall_over_many_cells(spark, monkeypatch, clustered):
     """Cells far smaller than in production, so that queries depend on prefixes and cuts."""
     monkeypatch.setattr(ann, "CELL", 300)
     monkeypatch.setattr(ann, "CELL_PER_ROOT", 4)
-    monkeypatch.setattr(ann, "BUDGET", 120)
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((3000, 16))
     if clustered:
@@ -96,7 +102,7 @@ def test_ranges_share_prefixes():
             assert np.flatnonzero(shares).tolist() == list(range(lo, hi))
 
 
-def recall(spark, monkeypatch, vectors, asked=None, cell=300, budget=20):
+def recall(spark, monkeypatch, vectors, asked=None, cell=300, budget=4):
     """Of the neighbours of the queries ``asked``, or of all, the share found; cells and first look are small."""
     monkeypatch.setattr(ann, "CELL", cell)
     monkeypatch.setattr(ann, "CELL_PER_ROOT", 1)
@@ -121,10 +127,49 @@ def unit(vectors):
 
 def test_an_ascent_meets_what_it_must():
     cosine = np.linspace(-1, 1, 2001)
-    trees, levels = ann.ascent(cosine)
-    shares = (1 - np.arccos(cosine) / np.pi) ** levels
-    assert (1 - (1 - shares) ** trees >= ann.FOUND - 1e-9).all()
-    assert trees.max() <= ann.TREES and levels[cosine > 0.999].min() > 10 and levels[cosine < 0].max() == 0
+    levels = ann.ascent(cosine)
+    assert levels.shape == (2001, ann.TREES) and levels[-1].min() == ann.BITS
+    shares = 1 - np.arccos(cosine) / np.pi
+    missed = np.where(levels < 0, 1.0, 1 - shares[:, None] ** np.maximum(levels, 0))
+    assert (1 - missed.prod(axis=1) >= ann.FOUND - 1e-9).all()
+    # All trees ascend together: no two are more than a level apart, but where one is at its root.
+    below = levels[levels[:, 0] > 0]
+    assert (below.max(axis=1) - below.min(axis=1) <= 1).all()
+    assert levels[cosine > 0.999].min() > 10 and levels[cosine < -0.999].max() == 0
+
+
+def test_a_descent_ends_beside_the_longest_prefixes():
+    rng = np.random.default_rng(8)
+    found = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    asked = rng.integers(0, 1 << 63, 40).astype(np.uint64) * np.uint64(2)
+    low, high = ann._descent(found, asked, np.full(40, 6))
+    for a, lo, hi in zip(asked.tolist(), low, high):
+        shared = [64 - (a ^ f).bit_length() for f in found.tolist()]
+        assert max(shared) in shared[lo:hi] and 3 <= hi - lo <= 6
+    assert ann._descent(found[:0], asked, np.full(40, 6))[1].max() == 0
+
+
+def test_the_share_of_vectors_scored_falls(spark):
+    """With the constants of production, for random directions and for clusters."""
+    rng = np.random.default_rng(9)
+    for spread in (None, 0.4):
+        shares = []
+        for n in (1000, 4000, 16_000):
+            vectors = rng.standard_normal((n, 32))
+            if spread:
+                vectors = rng.standard_normal((n // 25, 32))[rng.integers(0, n // 25, n)] + spread * vectors
+            rows = table(spark, list(enumerate(unit(vectors).tolist())))
+            scored = [r.scored for r in ann.scored_pairs(rows).collect()]
+            assert len(scored) == n // 20
+            shares.append(np.mean(scored) / n)
+        assert shares[0] > shares[1] > shares[2]
+        assert not spread or shares[2] < shares[0] / 2
+
+
+def test_recall_with_the_constants_of_production(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    for n in (500, 9000):
+        assert recall(spark, monkeypatch, unit(rng.standard_normal((n, 64))), cell=ann.CELL, budget=ann.BUDGET) >= 0.9
 
 
 def test_recall_does_not_fall_with_the_size(spark, monkeypatch):
