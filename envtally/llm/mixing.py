@@ -67,7 +67,8 @@ def balance(cells: DataFrame, sources: DataFrame) -> DataFrame:
     """``cells (source, size, n)`` with ``rate``, given ``sources (source, size, target)``.
 
     The multiplier is that of sizes divided by the mean size of the source's words. A source
-    whose target is all it can give has rate MOST throughout. Each round is checkpointed.
+    whose target is all it can give has rate MOST throughout. Each round is checkpointed. That
+    a source is still off its target after MAX_ROUNDS is an error.
     """
     known = sources.select("source", F.col("target").alias("goal"), F.col("size").alias("total"))
     state = written(
@@ -91,6 +92,9 @@ def balance(cells: DataFrame, sources: DataFrame) -> DataFrame:
         if not state.where("open").limit(1).count():
             break
         state = written(_newton(spread, state))
+    else:
+        if not state.where("open").isEmpty():
+            raise RuntimeError(f"sources off their targets after {MAX_ROUNDS} rounds")
     solved = state.select(
         F.col("source").alias("_s"), F.when(F.col("goal") < F.col("total") * MOST * (1 - 1e-12), F.col("m")).alias("m")
     )

@@ -109,3 +109,12 @@ def test_repeated_documents(spark):
     for source, target in targets.items():
         assert abs(taken[source] - target) <= max(size(r[1]) for r in rows if r[3] == source)
     assert mixing.repeat(empty_docs(spark)).collect() == []
+
+
+def test_an_unsolved_source_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_ROUNDS", 1)
+    sizes = [("a", 10, 5), ("a", 300, 2), ("b", 7, 40)]
+    cells = spark.createDataFrame(sizes, "source string, size long, n long")
+    sources = spark.createDataFrame([("a", 650, 900.0), ("b", 280, 100.0)], "source string, size long, target double")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        mixing.balance(cells, sources)
