@@ -8,18 +8,22 @@ smallest out-of-place distance wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from envtally.llm.storage import written
+
 PROFILE = 300
 #: Profiles are learned from about so many documents of a language, chosen by a hash.
 SAMPLE = 2000
-#: Languages that are learned: the most frequent ones.
-MOST_LANGUAGES = 1000
+#: Languages whose profiles a task compares at a time, which bounds its table of places.
+BLOCK = 256
+#: Sampling rates of at most so many languages are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 #: No letter has a code point from here on.
 _END = 0x33480
@@ -69,7 +73,7 @@ class Profiles:
         self.languages = sorted(by_language)
         keys = [by_language[name] for name in self.languages]
         self.keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        self.places = np.full((len(self.keys) + 1, len(keys)), -1, np.int64)
+        self.places = np.full((len(self.keys) + 1, len(keys)), -1, np.int16)
         for column, own in enumerate(keys):
             self.places[np.searchsorted(self.keys, own), column] = np.arange(len(own))
 
@@ -85,30 +89,42 @@ class Profiles:
         out = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(own))[:, None]))
         return out.sum(axis=0) / (PROFILE * len(own))
 
-    def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float]:
-        own = profile(*ngrams(text or "", table))
-        if not len(own) or not self.languages:
-            return UNKNOWN, 0.0
-        distances = self.distances(own)
-        best = int(distances.argmin())
-        return self.languages[best], float(1.0 - distances[best])
+
+def nearest(own: list[np.ndarray], blocks: Iterable[Profiles]) -> list[tuple[str, float]]:
+    """The language of the least distance to each profile of ``own``, and 1 less the distance.
+
+    Of equal distances the first block and in it the first language counts.
+    """
+    best = [(UNKNOWN, 0.0, np.inf)] * len(own)
+    for profiles in blocks:
+        for i, keys in enumerate(own):
+            if len(keys):
+                distances = profiles.distances(keys)
+                at = int(distances.argmin())
+                if distances[at] < best[i][2]:
+                    best[i] = (profiles.languages[at], float(1.0 - distances[at]), distances[at])
+    return [(name, score) for name, score, _ in best]
 
 
-def learn(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Profiles of the languages of ``docs (doc_id, text, lang)``.
+def learn(docs: DataFrame) -> list[dict[str, np.ndarray]]:
+    """Profiles of all languages of ``docs (doc_id, text, lang)``, BLOCK of them a dict.
 
     Rows without lang or text teach nothing. Of a language with more than SAMPLE documents,
-    about SAMPLE are chosen by a hash of the doc_id; their whole texts count. Languages are
-    the MOST_LANGUAGES with most documents, ties in code point order. This bounds the
-    profiles, which the driver gathers: n-grams are counted in the tasks and summed by Spark.
+    about SAMPLE are chosen by a hash of the doc_id; their whole texts count. A language whose
+    documents hold no letter has no profile. Blocks are in code point order of their languages.
+    N-grams are counted in the tasks and summed by Spark; the driver gathers PROFILE numbers
+    per language, block by block.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-    rates = most.limit(MOST_LANGUAGES).select(
-        F.col("lang").alias("_lang"), (F.lit(float(SAMPLE)) / F.col("n")).alias("_rate")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rates = written(
+        counts.select(F.col("lang").alias("_lang"), (F.lit(float(SAMPLE)) / F.col("n")).alias("_rate"))
     )
+    size = rates.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_lang")).alias("bytes")).first()
+    if size["n"] <= MOST_BROADCAST and (size["bytes"] or 0) <= 64 * MOST_BROADCAST:
+        rates = F.broadcast(rates)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(rates), F.col("lang") == F.col("_lang")).where(
+    sample = known.join(rates, F.col("lang") == F.col("_lang")).where(
         F.coalesce(drawn, F.lit(0.0)) < F.col("_rate")
     )
 
@@ -138,25 +154,38 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     )
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "ngram")
     top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)
-    out: dict[str, list] = {}
-    for row in sorted(top.select("lang", "place", "ngram").collect()):
-        out.setdefault(row["lang"], []).append(row["ngram"])
-    return {name: np.array(keys, np.int64).view(np.uint64) for name, keys in out.items()}
-
-
-def identify(docs: DataFrame, by_language: dict[str, np.ndarray], keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    top = written(top.select("lang", "place", "ngram"))
+    names = sorted(r["lang"] for r in top.where("place = 1").select("lang").collect())
+    blocks = []
+    for start in range(0, len(names), BLOCK):
+        own = names[start : start + BLOCK]
+        out: dict[str, list] = {name: [] for name in own}
+        for row in sorted(top.where(F.col("lang").between(own[0], own[-1])).collect()):
+            out[row["lang"]].append(row["ngram"])
+        blocks.append({name: np.array(keys, np.int64).view(np.uint64) for name, keys in out.items()})
+    return blocks
+
+
+def identify(
+    docs: DataFrame, learned: list[dict[str, np.ndarray]], keys: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
     """``keys, lang_pred, score`` for each row of ``docs``, from its whole text alone.
 
     lang_pred is a learned language, of equally near ones the first in code point order;
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned.
-    score is 1 less the distance over the largest possible one. Rows repeat as they come.
+    score is 1 less the distance over the largest possible one. Texts of any length are read
+    whole. Rows repeat as they come, an empty table gives none, and columns other than ``keys``
+    are left out, whatever their names. Each block is broadcast, some 600 KB.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(by_language)
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in learned]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, profiles = letter_table(), Profiles(shared.value)
+        table = letter_table()
+        # One block of languages, as is usual, is made ready once; of more, one is held at a time.
+        only = Profiles(shared[0].value) if len(shared) == 1 else None
         for batch in batches:
-            found = [profiles.predict(t.as_py(), table) for t in batch.column(len(keys))]
+            own = [profile(*ngrams(t.as_py() or "", table)) for t in batch.column(len(keys))]
+            found = nearest(own, [only] if only else (Profiles(b.value) for b in shared))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(keys)],

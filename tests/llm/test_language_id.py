@@ -82,11 +82,28 @@ def test_nothing_to_learn_from(spark):
 
 def test_profiles_of_a_sample_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE", 10)
-    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
     rng = random.Random(1)
     rows = [(n, "abc " * 5, rng.choice(["en", "en", "fr", "de"]), "a", 0) for n in range(400)]
     learned = language_id.learn(spark.createDataFrame(rows, DOCS))
-    assert "en" in learned and len(learned) == 2
+    assert [list(block) for block in learned] == [["de", "en", "fr"]]
+
+
+def test_blocks_of_languages_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "BLOCK", 2)
+    monkeypatch.setattr(language_id, "MOST_BROADCAST", 0)
+    rng = random.Random(3)
+    letters = "abcdefghij"
+    rows = [(n, "".join(rng.choice(letters[n % 5 : n % 5 + 5] + " ") for _ in range(80)), f"l{n % 7}", "a", 0) for n in range(150)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert [len(block) for block in language_id.learn(docs)] == [2, 2, 2, 1]
+    assert rounded(language_id.language_id(docs).collect()) == brute(rows)
+
+
+def test_any_number_of_languages(spark):
+    word = lambda n: chr(0x4E00 + n) + chr(0x6E00 + n)
+    rows = [(n, f"{word(n % 1500)} " * 3, f"l{n % 1500}", "a", 0) for n in range(12_000)]
+    got = language_id.language_id(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == f"l{r.doc_id % 1500}" for r in got)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
