@@ -59,10 +59,7 @@ WITH d AS (
     length(text) - length(regexp_replace(text, '[^\p{L}\p{Nd}\x20\x09-\x0D#*$%&|<>]+', '', 'g')) AS mark_,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d
-), langs AS (SELECT lang, sum(n_words) AS n FROM c GROUP BY lang),
-own AS (
-  SELECT lang FROM langs WHERE lang IS NOT NULL AND n > 0 AND n * 1000 >= (SELECT sum(n) FROM langs)
-), k AS (SELECT *, CASE WHEN lang IN (SELECT lang FROM own) THEN lang END AS ref FROM c),
+), k AS (SELECT *, lang AS ref FROM c),
 sums AS (SELECT ref, sum(n_words) AS reference_words FROM k GROUP BY ref HAVING sum(n_words) > 0),
 med AS (
   SELECT ref, quantile_cont(upper_ * 1000 // chars, 0.5) / 1000 AS u, quantile_cont(symbol_ * 1000 // chars, 0.5) / 1000 AS s,

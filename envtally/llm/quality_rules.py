@@ -27,8 +27,9 @@ MIN_REFERENCE_WORDS = 1000
 #: Largest distances that pass.
 MOST_CHAR_DISTANCE = 0.16
 MOST_WORD_DISTANCE = 0.4
-#: A language with less than one in so many of all words has no reference of its own.
-MOST_REFERENCES = 1000
+#: References of at most so many languages, about a kilobyte each, are broadcast; more are
+#: joined by a shuffle.
+MOST_BROADCAST = 10_000
 #: A common word is at least one in so many of its language's words.
 RAREST_COMMON = 1000
 _CLASSES = ("upper", "symbol", "mark", "space")
@@ -79,11 +80,10 @@ def repeated_words(words: Column) -> Column:
     return _let(hashes, counted)
 
 
-def _with_words(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a struct ``name`` of its text, not null, and the words of it."""
+def _words() -> Column:
+    """A struct of the text, not null, and the words of it."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    return docs.withColumn(name, F.struct(text.alias("text"), words.alias("words")))
+    return F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
 
 
 def _classes(text: Column, words: Column) -> list[Column]:
@@ -105,17 +105,16 @@ def _with_rest(shares: list[Column]) -> Column:
     return F.array(*shares, F.greatest(rest, F.lit(0.0)))
 
 
-def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``lang, classes, common, shares, reference_words`` of each language; languages.
+def references(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``lang, classes, common, shares, reference_words``; whether these are few.
 
-    classes are the median shares of character classes; common are its COMMON most frequent words
-    of at most COMMON_LENGTH letters and nothing else, ties in code point order; shares are theirs among
-    all words, and last that of all other words. A language with less than one in
-    MOST_REFERENCES of all words has none: it shares that of lang null with the documents
-    whose lang is null. So there are at most MOST_REFERENCES + 1 rows, and at most
-    MOST_REFERENCES languages are listed.
+    Each language with MIN_REFERENCE_WORDS words has a row, whatever its share of the corpus,
+    and so have the documents whose lang is null, together. classes are the median shares of
+    character classes; common are the COMMON most frequent words of at most COMMON_LENGTH
+    letters and nothing else, ties in code point order; shares are theirs among all words, and
+    last that of all other words. Few are at most MOST_BROADCAST rows with short names.
     """
-    rows = _with_words(docs.select("lang", "text"), "w").select("lang", "w.*")
+    rows = docs.select("lang", _words().alias("w")).select("lang", "w.*")
     exploded = rows.select("lang", F.explode("words").alias("word"))
     short = F.when(F.length("word") <= COMMON_LENGTH, F.col("word"))
     by_word = written(
@@ -132,18 +131,16 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         .groupBy("lang", "x.part", "x.share")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_lang = by_word.groupBy("lang").agg(F.sum("n").alias("n"))
-    total = by_lang.agg(F.sum("n")).first()[0] or 0
-    enough = F.col("lang").isNotNull() & (F.col("n") > 0) & (F.col("n") * MOST_REFERENCES >= total)
-    languages = sorted(r["lang"] for r in by_lang.where(enough).collect())
-    own = F.when(F.col("lang").isin(languages), F.col("lang"))
-    pooled = by_word.withColumn("lang", own)
-    sums = pooled.groupBy("lang").agg(F.sum("n").alias("reference_words"))
+    sums = written(
+        by_word.groupBy("lang")
+        .agg(F.sum("n").alias("reference_words"))
+        .where(F.col("reference_words") >= MIN_REFERENCE_WORDS)
+    )
+    size = sums.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lang")).alias("bytes")).first()
+    few = size["n"] <= MOST_BROADCAST and (size["bytes"] or 0) <= 64 * MOST_BROADCAST
+    small = F.broadcast if few else lambda df: df
     medians = (
-        by_share.withColumn("lang", own)
-        .groupBy("lang", "part", "share")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(F.col("lang").alias("_m"))
+        by_share.groupBy(F.col("lang").alias("_m"))
         .agg(
             *(
                 F.expr(f"percentile(share, 0.5, if(part = '{c}', n, 0L)) / 1000").alias(c)
@@ -152,11 +149,9 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
         )
     )
     frequent = (
-        pooled.where(F.rlike("word", F.lit(r"^\p{L}+$")))
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"))
+        by_word.where(F.rlike("word", F.lit(r"^\p{L}+$")))
         .join(
-            F.broadcast(sums.select(F.col("lang").alias("_l"), "reference_words")),
+            small(sums.select(F.col("lang").alias("_l"), "reference_words")),
             F.col("lang").eqNullSafe(F.col("_l"))
             & (F.col("n") * RAREST_COMMON >= F.col("reference_words")),
         )
@@ -171,8 +166,8 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     share = lambda n: n.cast("double") / F.col("reference_words")
     known = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
     found = (
-        sums.join(F.broadcast(listed), F.col("lang").eqNullSafe(F.col("_l")), "left")
-        .join(F.broadcast(medians), F.col("lang").eqNullSafe(F.col("_m")))
+        sums.join(small(listed), F.col("lang").eqNullSafe(F.col("_l")), "left")
+        .join(small(medians), F.col("lang").eqNullSafe(F.col("_m")))
         .select(
             "lang",
             _with_rest([F.col(c) for c in _CLASSES]).alias("classes"),
@@ -184,7 +179,7 @@ def references(docs: DataFrame) -> tuple[DataFrame, list[str]]:
             "reference_words",
         )
     )
-    return found, languages
+    return found, few
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -204,16 +199,21 @@ def judged(docs: DataFrame, name: str = "rules") -> DataFrame:
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
     char_distance and word_distance (null where the text, or the reference of its language,
     is too short to judge) and kept. A null text is an empty one, which fails the base
-    rules. A null lang, or a rare one, is judged by the reference that these share. Rows
-    stay as they are; ``name`` must not be one of their columns. An empty table is empty.
+    rules; a text of any length is judged whole. Documents whose lang is null have a reference
+    together. Repeated rows stay, each judged alike; other columns stay as they are, whatever
+    their names, but ``name`` must not be one of them. An empty table gives an empty result.
     """
-    reference, languages = references(docs)
-    key = F.when(F.col("lang").isin(languages), F.col("lang"))
+    reference, few = references(docs)
     ref, work = f"_{name}_reference", f"_{name}_work"
     known = reference.select(
         F.col("lang").alias(f"{ref}_lang"), F.struct("classes", "common", "shares", "reference_words").alias(ref)
     )
-    joined = _with_words(docs, work).join(F.broadcast(known), key.eqNullSafe(F.col(f"{ref}_lang")), "left")
+    same = F.col("lang").eqNullSafe(F.col(f"{ref}_lang"))
+    if few:
+        joined = docs.withColumn(work, _words()).join(F.broadcast(known), same, "left")
+    else:
+        # Only texts move, not their words as well; adaptive execution splits a hot language.
+        joined = computed_once(docs.join(known, same, "left"), work, _words(), [*docs.columns, ref])
     text, words = F.col(f"{work}.text"), F.col(f"{work}.words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     common = F.col(f"{ref}.common")

@@ -89,11 +89,39 @@ def test_few_words_of_a_language_judge_nothing(spark):
     assert found.char_distance is None and found.word_distance is None and found.base_failed is False and found.kept
 
 
-def test_rare_languages_share_a_reference(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MOST_REFERENCES", 4)
+def many_languages(spark, rng):
+    """1,500 languages of 100 words, one of 120, and one of 12 million."""
+    text = lambda n: F.lit(prose(rng, n))
+    row = lambda lang, t: [F.col("id").alias("doc_id"), t.alias("text"), lang.alias("lang")]
+    common = spark.range(1500).select(*row(F.concat(F.lit("l"), F.col("id").cast("string")), text(100)))
+    rare = spark.range(1).select(*row(F.lit("rare"), text(120)))
+    return common.union(rare), spark.range(0, 120, 1, 8).select(*row(F.lit("en"), F.repeat(F.concat(text(1000), F.lit(" ")), 100)))
+
+
+def test_every_language_has_its_own_reference(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_REFERENCE_WORDS", 100)
+    small, large = many_languages(spark, random.Random(1))
+    reference, few = quality_rules.references(small.union(large))
+    found = {r["lang"]: r["reference_words"] for r in reference.collect()}
+    assert few and len(found) == 1502
+    assert found["rare"] == 120 and found["l1499"] == 100 and found["en"] == 12_000_000
+
+
+def test_more_languages_than_a_broadcast_holds(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MIN_REFERENCE_WORDS", 100)
+    clean, junk = corpus(random.Random(7))
+    small, _ = many_languages(spark, random.Random(2))
+    docs = small.union(spark.createDataFrame(clean + junk, DOCS).select("doc_id", "text", "lang"))
+    docs = docs.union(docs.where("lang = 'en'").withColumn("lang", F.lit(None)))
+    judged = lambda: sorted(map(str, quality_rules.judged(docs).select("doc_id", "lang", "rules.*").collect()))
+    expected = judged()
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 0)
+    assert quality_rules.references(docs)[1] is False
+    assert judged() == expected
+
+
+def test_languages_below_the_least_words_judge_nothing(spark):
     rng = random.Random(1)
     rows = [(n, prose(rng, 100), "en" if n < 80 else f"l{n}", "a", 1) for n in range(100)]
-    reference, languages = quality_rules.references(spark.createDataFrame(rows, DOCS))
-    assert languages == ["en"]
-    found = {r["lang"]: r["reference_words"] for r in reference.collect()}
-    assert set(found) == {"en", None} and found["en"] == 4 * found[None]
+    reference, _ = quality_rules.references(spark.createDataFrame(rows, DOCS))
+    assert [r["lang"] for r in reference.collect()] == ["en"]
