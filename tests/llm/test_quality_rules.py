@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -125,3 +126,43 @@ def test_languages_below_the_least_words_judge_nothing(spark):
     rows = [(n, prose(rng, 100), "en" if n < 80 else f"l{n}", "a", 1) for n in range(100)]
     reference, _ = quality_rules.references(spark.createDataFrame(rows, DOCS))
     assert [r["lang"] for r in reference.collect()] == ["en"]
+
+
+def test_texts_are_read_twice(spark):
+    """Once for the references, words and classes alike, and once to be judged by them."""
+    clean, junk = corpus(random.Random(3))
+    rows = clean + junk
+    read = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame(rows, DOCS)
+    counted = docs.withColumn("text", F.udf(text, "string").asNondeterministic()("text"))
+    got = {tuple(r) for r in quality_rules.quality_rules(counted).collect()}
+    assert read.value == 2 * len(rows)
+    assert got == {tuple(r) for r in quality_rules.quality_rules(docs).collect()}
+
+
+def test_character_classes(spark):
+    def classes(text):
+        upper = sum(unicodedata.category(c) == "Lu" for c in text)
+        symbol = sum(c in "#*$%&|<>" for c in text)
+        space = sum(c in " \t\n\x0b\x0c\r" for c in text)
+        kind = [unicodedata.category(c) for c in text]
+        return upper, symbol, len(text) - upper - space - symbol - sum(k[0] == "L" and k != "Lu" or k == "Nd" for k in kind), space
+
+    texts = ["", "Az09 #!", "ÀéßǅʰªΩω", "漢字 かな́", "٣²Ⅳ   _-\x0b\x0c\r\n\t", "𝐀𝐚😀𝟗", "[a&&b]\\^"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(quality_rules._words().alias("w"))
+    found = docs.select("w.text", quality_rules._classes(F.col("w.text"), F.col("w.words")).alias("c")).collect()
+    assert {r.text: tuple(r.c) for r in found} == {t: classes(t) for t in texts}
+
+
+def test_common_words_of_a_document(spark):
+    words = F.array(*map(F.lit, ["a", "b", "a", "cc", "A", "a"]))
+    short = F.array(F.lit("a"), F.lit("cc"), F.lit("x"))
+    none = F.lit(None).cast("array<string>")
+    got = spark.range(1).select(quality_rules._hits(words, short).alias("s"), quality_rules._hits(words, none).alias("n")).first()
+    rest = [0] * (quality_rules.COMMON - 3)
+    assert got.s == [3, 1, 0, *rest] and got.n == [0, 0, 0, *rest]
